@@ -25,8 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UnitCache, list_array, slices
-from .pieces import cut
+from .common import list_array, slices
+from .pieces import PieceCoder, packed
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -139,7 +139,8 @@ class MergeReplay:
                 continue
             if len(places) >= self.MANY:
                 at = np.array(places, dtype=np.int64)
-                at = np.unique(at[pairs[at] == rank])
+                at = np.sort(at[pairs[at] == rank])
+                at = at[np.diff(at, prepend=-1) > 0]
                 if len(at) == 0 or self._apply_all(rank, at, tokens, pairs, afters, befores, index, heap):
                     continue
                 places = at.tolist()
@@ -224,29 +225,18 @@ class MergeReplay:
             heapq.heappush(heap, rank)
 
 
-class WordMemo:
-    """Ids of pieces of text, from a bounded memo of the words in them."""
-
-    def __init__(self, ranks_path: str, pattern: str):
-        replay = MergeReplay(read_ranks(ranks_path))
-        self.words_of = regex.compile(pattern).findall
-        self.words = UnitCache(lambda words: replay.encode(list(map(str.encode, words))))
-
-    def __call__(self, pieces: list[str]) -> list[bytes]:
-        split = list(map(self.words_of, pieces))
-        get = self.words.ready(split).__getitem__
-        return [get(words[0]) if len(words) == 1 else b"".join(map(get, words)) for words in split]
+_ENCODERS: dict[tuple[str, str], PieceCoder] = {}
+_TABLES: dict[str, pa.BinaryArray] = {}
+#: Documents that are decoded at once.
+ROWS = 512
 
 
-_ENCODERS: dict[tuple[str, str], UnitCache] = {}
-_TABLES: dict[str, list[bytes]] = {}
-
-
-def _encoder(ranks_path: str, pattern: str) -> UnitCache:
+def _encoder(ranks_path: str, pattern: str) -> PieceCoder:
     """One for each vocabulary and Python worker."""
     key = (ranks_path, pattern)
     if key not in _ENCODERS:
-        _ENCODERS[key] = UnitCache(WordMemo(ranks_path, pattern))
+        replay = MergeReplay(read_ranks(ranks_path))
+        _ENCODERS[key] = PieceCoder(regex.compile(pattern).findall, lambda words: replay.encode(list(map(str.encode, words))))
     return _ENCODERS[key]
 
 
@@ -261,8 +251,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         encoder = _encoder(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
-                docs = [cut(text) for text in part.column(1).to_pylist()]
-                ids = list_array(encoder.packed(docs), "<u4", pa.int32())
+                ids = list_array(packed(part.column(1), encoder), "<u4", pa.int32())
                 yield pa.record_batch([part.column(0), ids], names=["doc_id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -279,17 +268,22 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if ranks_path not in _TABLES:
             ranks = read_ranks(ranks_path)
-            table = [None] * (max(ranks.values()) + 1)
+            table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
             for token, rank in ranks.items():
                 table[rank] = token
-            _TABLES[ranks_path] = table
-        get = _TABLES[ranks_path].__getitem__
+            _TABLES[ranks_path] = pa.array(table, pa.binary())
+        table = _TABLES[ranks_path]
         for batch in batches:
-            step = 512
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                texts = [b"".join(map(get, ids)) if ids else b"" for ids in part.column(1).to_pylist()]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.binary())], names=["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids = part.column(1)
+                tokens = table.take(ids.flatten())
+                if tokens.null_count:
+                    raise ValueError("an id isn't in the vocabulary")
+                offsets = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1]
+                ends = np.frombuffer(tokens.buffers()[1], dtype=np.int32)[offsets - offsets[0]]
+                texts = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), tokens.buffers()[2]])
+                yield pa.record_batch([part.column(0), ids, texts], names=["doc_id", "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     read = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))

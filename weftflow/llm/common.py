@@ -94,16 +94,16 @@ class UnitCache:
         self.young.update(zip(new, self.compute(new)))
         return self.young
 
-    def packed(self, docs: list[list]) -> list[bytes]:
-        """For each document, a list of pieces, the joined values of its pieces."""
-        get = self.ready(docs).__getitem__
-        return [b"".join(map(get, pieces)) for pieces in docs]
 
-
-def list_array(packed: list[bytes], kind: np.dtype, arrow: pa.DataType) -> pa.ListArray:
+def list_array(packed: pa.BinaryArray, kind: str, arrow: pa.DataType) -> pa.ListArray:
     """Arrow lists from the packed integers of each row."""
-    sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // np.dtype(kind).itemsize
-    offsets = np.zeros(len(packed) + 1, dtype=np.int32)
-    np.cumsum(sizes, out=offsets[1:])
-    values = pa.array(np.frombuffer(b"".join(packed), dtype=kind)).cast(arrow)
-    return pa.ListArray.from_arrays(pa.array(offsets), values)
+    size = np.dtype(kind).itemsize
+    offsets = np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    data = packed.buffers()[2]
+    values = np.frombuffer(data, dtype=np.uint8)[: offsets[-1]] if data else np.zeros(0, np.uint8)
+    return pa.ListArray.from_arrays(pa.array(offsets // size), pa.array(values.view(kind)).cast(arrow))
+
+
+def sized(packed: pa.BinaryArray) -> np.ndarray:
+    """Bytes in each row."""
+    return np.diff(np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset : packed.offset + len(packed) + 1])

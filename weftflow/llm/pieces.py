@@ -1,34 +1,101 @@
 """Cutting text before blanks where the public pre-tokenisation pattern cuts as well.
 
 A blank between two visible characters always starts a new match of the pattern, so pieces between such
-blanks can be tokenised apart and their results joined. A blank with white space on both sides (or at the
-end after white space) may lie inside a match; texts that have one are cut with a slower exact rule.
+blanks can be tokenised apart and their results joined. A blank that follows other white space may lie
+inside a match; texts that have one are cut with a slower exact rule.
+
+:func:`packed` numbers the distinct pieces of many texts in Arrow, so that Python handles each distinct
+piece of a slice once, and each distinct word once while :class:`PieceCoder` remembers it.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import UnitCache
 
 #: White space besides the blank (fixed values: Unicode White_Space, and the separators 0x1C to 0x1F).
 OTHER_ASCII = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 OTHER_WIDE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_DOUBTFUL_ASCII = tuple(c + " " for c in " " + OTHER_ASCII)
-_DOUBTFUL_WIDE = tuple(c + " " for c in OTHER_WIDE)
 _SAFE_CUT = re.compile(f"(?= [^ {OTHER_ASCII}{OTHER_WIDE}])")
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[np.frombuffer((" " + OTHER_ASCII).encode(), dtype=np.uint8)] = True
+#: The last two bytes of the other white space, as a number.
+_WIDE = np.array(sorted({int.from_bytes(c.encode()[-2:], "big") for c in OTHER_WIDE}), dtype=np.uint16)
+
+
+def doubtful(text: np.ndarray) -> bool:
+    """Whether some blank of the UTF-8 bytes may come after other white space."""
+    at = np.flatnonzero(text[1:] == 32)
+    before = text[at]
+    if _SPACE[before].any():
+        return True
+    wide = at[before >= 128]
+    return bool(np.isin(text[wide - 1].astype(np.uint16) << 8 | text[wide], _WIDE).any())
 
 
 def cut(text: str) -> list[str]:
     """Pieces of ``text``; joined they give ``text``, and no match of the pattern spans two of them."""
-    if not text:
-        return []
-    for pair in _DOUBTFUL_ASCII:
-        if pair in text:
-            break
-    else:
-        if text.isascii() or not any(pair in text for pair in _DOUBTFUL_WIDE):
-            head, *rest = text.split(" ")
-            pieces = [" " + piece for piece in rest]
-            if head:
-                pieces.insert(0, head)
-            return pieces
     return [piece for piece in _SAFE_CUT.split(text) if piece]
+
+
+class PieceCoder:
+    """Packed values of pieces: each is split into words, and each new word is coded once."""
+
+    def __init__(self, split: Callable[[str], list[str]], code: Callable[[list[str]], list[bytes]]):
+        self.split, self.words = split, UnitCache(code)
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        split = self.split
+        # a blank or letter and then letters only is one word
+        words = [[x] if x[1:].isalpha() and (x[0] == " " or x[0].isalpha()) else split(x) for x in pieces]
+        get = self.words.ready(words).__getitem__
+        return [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in words]
+
+
+def packed(texts: pa.Array, coder: PieceCoder) -> pa.BinaryArray:
+    """The joined values of the pieces of each text; ``texts`` are strings without nulls."""
+    n = len(texts)
+    if n == 0:
+        return pa.array([], pa.binary())
+    size = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + n + 1]
+    if size[-1] > size[0]:
+        data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)
+        if doubtful(data[size[0] : size[-1]]):
+            odd = [doubtful(data[a:b]) for a, b in zip(size.tolist(), size[1:].tolist())]
+            if any(odd):
+                return _apart(texts, odd, coder)
+    return _fast(texts, coder)
+
+
+def _apart(texts: pa.Array, odd: list[bool], coder: PieceCoder) -> pa.BinaryArray:
+    plain = iter(_fast(texts.filter(pa.array([not x for x in odd])), coder).to_pylist())
+    docs = [cut(text) for text in texts.filter(pa.array(odd)).to_pylist()]
+    values = iter(coder([piece for pieces in docs for piece in pieces]))
+    strange = iter([b"".join([next(values) for _ in pieces]) for pieces in docs])
+    return pa.array([next(strange) if x else next(plain) for x in odd], pa.binary())
+
+
+def _fast(texts: pa.Array, coder: PieceCoder) -> pa.BinaryArray:
+    """Every blank is a cut: split, number the distinct pieces and pick their values, all in Arrow."""
+    if len(texts) == 0:
+        return pa.array([], pa.binary())
+    split = pc.split_pattern(texts, " ")
+    offsets = split.offsets.to_numpy()
+    coded = split.values.dictionary_encode()
+    at, distinct = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False)
+    units = [" " + piece for piece in distinct.tolist()]
+    first = offsets[:-1]  # the first piece of a text has no blank before it
+    heads = distinct[at[first]].tolist()
+    values = coder(units + [head for head in heads if head])
+    values.append(b"")
+    real = np.array([bool(head) for head in heads])
+    at[first] = np.where(real, len(units) - 1 + np.cumsum(real), len(values) - 1)
+    picked = pa.array(values, pa.binary()).take(pa.array(at))
+    ends = np.frombuffer(picked.buffers()[1], dtype=np.int32)[offsets]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), picked.buffers()[2]])

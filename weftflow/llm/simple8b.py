@@ -21,18 +21,24 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if n == 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-    at = np.arange(n, dtype=np.int32)
+    if values.max() < 1 << 32:
+        values = values.astype(np.uint32)
     chosen = np.zeros(n, dtype=np.int8)  # the selector for a word that starts here; 0 stays for escapes
-    step = np.ones(n, dtype=np.int32)
     for bits, count, selector in sorted(_BY_BITS, key=lambda x: x[1]):  # the largest count that fits comes last
-        wide = values >= np.uint64(1 << bits)
-        if count > n or np.diff(np.flatnonzero(wide), prepend=-1, append=n).max() <= count:
-            continue  # no run of so many is narrow enough
-        until = np.minimum.accumulate(np.where(wide, at, np.int32(n))[::-1])[::-1]  # the next integer too wide
-        fits = until - at >= count
-        chosen[fits] = selector
-        step[fits] = count
-    steps = step.tolist()
+        if count > n:
+            continue
+        if bits >= 32 and values.dtype == np.uint32:
+            chosen[: n - count + 1] = selector
+            continue
+        wide = np.flatnonzero(values >= values.dtype.type(1 << bits))
+        first, end = np.append(-1, wide) + 1, np.append(wide, n)  # runs of integers that are narrow enough
+        long = end - first >= count
+        if long.any():
+            turns = np.zeros(n + 1, dtype=np.int8)
+            turns[first[long]] = 1
+            turns[end[long] - count + 1] = -1
+            np.copyto(chosen, selector, where=np.cumsum(turns[:n], dtype=np.int8).view(bool))
+    steps = _COUNTS[chosen].tolist()
     starts, p = [], 0
     while p < n:
         starts.append(p)
@@ -45,7 +51,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not bits:
             continue
         which = np.flatnonzero(selectors == selector)
-        held = values[first[which][:, None] + np.arange(count)]
+        held = values[first[which][:, None] + np.arange(count)].astype(np.uint64)
         words[which] |= np.bitwise_or.reduce(held << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1)
     return words, values[first[selectors == 0]]
 

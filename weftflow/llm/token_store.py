@@ -25,8 +25,10 @@ empty table makes no shard and an empty manifest.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,16 +38,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import UnitCache, list_array, new_path, slices
-from .pieces import cut
+from .common import new_path, slices
+from .pieces import PieceCoder, packed
 
 MAGIC = b"W8B1"
 BLOCK = 1 << 16
 MANIFEST = "shard int, path string, documents long, ids long"
-_ENCODERS: dict[str, UnitCache] = {}
+_ENCODERS: dict[str, PieceCoder] = {}
+#: Splits pieces of ASCII as the tokenizer does; others go to it whole.
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 
 
-def _encoder(tokenizer_path: str) -> UnitCache:
+def _encoder(tokenizer_path: str) -> PieceCoder:
     """Whole texts are encoded by the pieces between which the tokenizer's own pattern always cuts."""
     if tokenizer_path not in _ENCODERS:
         from tokenizers import Tokenizer
@@ -53,11 +57,13 @@ def _encoder(tokenizer_path: str) -> UnitCache:
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.encode_special_tokens = True
 
-        def compute(pieces: list[str]) -> list[bytes]:
-            encoded = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-            return [np.array(x.ids, dtype="<u4").tobytes() for x in encoded]
+        def code(words: list[str]) -> list[bytes]:
+            return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-        _ENCODERS[tokenizer_path] = UnitCache(compute)
+        def split(piece: str) -> list[str]:
+            return _ASCII_WORDS.findall(piece) if piece.isascii() else [piece]
+
+        _ENCODERS[tokenizer_path] = PieceCoder(split, code)
     return _ENCODERS[tokenizer_path]
 
 
@@ -190,8 +196,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id
                     files.create_dir(folder, recursive=True)
                     out = files.open_output_stream(f"{folder}/{name}")
                     writer = ShardWriter(out)
-                docs = encoder.packed([cut(text) for text in part.column(1).to_pylist()])
-                for doc_id, ids in zip(part.column(0).to_pylist(), docs):
+                for doc_id, ids in zip(part.column(0).to_pylist(), packed(part.column(1), encoder).to_pylist()):
                     writer.add(doc_id, np.frombuffer(ids + end, dtype="<u4"))
         if writer is not None:
             writer.close()
@@ -226,7 +231,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     for doc in Shard(stream, stream.size()).documents():
                         docs.append(doc)
                         held += len(doc[2])
-                        if held >= 1 << 19:
+                        if held >= 1 << 18:
                             yield _rows(docs, first)
                             docs, held = [], 0
                     if docs:
@@ -239,7 +244,9 @@ def read(manifest: DataFrame) -> DataFrame:
 
 
 def _rows(docs: list, first: int) -> pa.RecordBatch:
-    ids = list_array([x.astype("<i8").tobytes() for _, _, x in docs], "<i8", pa.int64())
+    sizes = np.array([0, *(len(x) for _, _, x in docs)], dtype=np.int32)
+    values = np.concatenate([x for _, _, x in docs]).astype(np.int64)
+    ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(values))
     starts = pa.array([first + start for _, start, _ in docs], pa.int64())
     return pa.record_batch([pa.array([x for x, _, _ in docs], pa.int64()), starts, ids], names=["doc_id", "start", "ids"])
 
