@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, exact_dedup, simhash, token_store
+from . import bpe_replay, decontaminate, exact_dedup, pii, secret_ledger, simhash, token_store, url_filter
+from .common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,15 +55,60 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def spelled(spans: str, *kinds: str) -> Column:
+    """``kind:start:end`` of each span, comma-joined; of some kinds or of all."""
+    of = F.filter(spans, lambda s: s["kind"].isin(*kinds)) if kinds else F.col(spans)
+    return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def found(spans: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """The counts of the base kinds, the digest of their spans, and all spans."""
+
+    def of(kind: str) -> Column:
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in kinds]
+    base = F.sha2(spelled("spans", *kinds).cast("binary"), 256).alias("base_sha256")
+    return spans.select("doc_id", *counts, base, spelled("spans").alias("spans"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found(pii.find(table(spark, sf_dir, "documents")), pii.BASE)
+
+
+#: The rules of the contract (fixed values): verdict, host, path.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "verdict string, host string, path string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secret_ledger.scan(table(spark, sf_dir, "documents"), new_path(spark, "secret-ledger"))
+    return found(scanned, secret_ledger.BASE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_bpe_replay": op4_bpe_replay,
+    "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
+    "op8_url_filter": op8_url_filter,
+    "op10_secret_ledger": op10_secret_ledger,
 }
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_url_filter": url_filter.ORACLE_SQL,
 }
