@@ -51,8 +51,9 @@ def allowed(length: Column) -> Column:
 def seeds(df: DataFrame, masks: tuple[tuple[int, ...], ...], *carry: str) -> DataFrame:
     """A row for each position and mask: ``at``, ``mask``, ``hash``, ``words`` and the carried columns. ``df`` has ``words``."""
     least = min(mask[-1] for mask in masks) + 1
-    hashed = df.where(F.size("words") >= least).select(*carry, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    placed = hashed.select(*carry, "words", "h", F.explode(F.sequence(F.lit(0), F.size("h") - least)).alias("at"))
+    hashed = df.select(*carry, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    places = F.when(F.size("h") >= least, F.sequence(F.lit(0), F.size("h") - least))
+    placed = hashed.select(*carry, "words", "h", F.explode(places).alias("at"))
     each = []
     for k, mask in enumerate(masks):
         kept = F.xxhash64(F.lit(k), *(F.get("h", F.col("at") + o) for o in mask))
@@ -61,9 +62,13 @@ def seeds(df: DataFrame, masks: tuple[tuple[int, ...], ...], *carry: str) -> Dat
 
 
 def around(place: str) -> Column:
-    """The words from ``_REACH`` before a position on, null where there are none."""
-    offsets = F.sequence(F.lit(-_REACH), F.lit(_AROUND - _REACH - 1))
-    return F.transform(offsets, lambda o: F.when(F.col(place) + o >= 0, F.get("words", F.col(place) + o)))
+    """The words from ``_REACH`` before a position on, null before the first word.
+
+    Made of operations that compile into the join's stage, so that only hits ever copy words.
+    """
+    at = F.col(place)
+    before = F.array_repeat(F.lit(None).cast("string"), F.greatest(F.lit(_REACH) - at, F.lit(0)))
+    return F.concat(before, F.slice("words", F.greatest(at - _REACH, F.lit(0)) + 1, F.lit(_AROUND) - F.greatest(F.lit(_REACH) - at, F.lit(0))))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -102,8 +107,10 @@ def verified(hits: DataFrame) -> DataFrame:
         lambda s: F.aggregate(F.slice("equal", s, F.col("window")), F.lit(0), lambda x, y: x + y),
     )
     best = scored.select("doc_id", "item_id", "length", "window", F.array_max(sums).alias("matched"))
-    good = best.where(F.col("matched") >= F.col("window") - allowed(F.col("length")))
-    return good.groupBy("doc_id", "item_id").agg(F.max("matched").cast("long").alias("matched"), F.max("window").cast("long").alias("window"))
+    good = F.when(F.col("matched") >= F.col("window") - allowed(F.col("length")), F.struct("matched", "window"))
+    # the test stands above the aggregation, lest it move into the join and be made for every position
+    pairs = best.groupBy("doc_id", "item_id").agg(F.max(good).alias("best")).where("best is not null")
+    return pairs.select("doc_id", "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("best.window").cast("long").alias("window"))
 
 
 def keep(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
