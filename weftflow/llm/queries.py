@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, exact_dedup, pii, secret_ledger, simhash, token_store, url_filter
+from . import bpe_replay, decontaminate, exact_dedup, language, pii, quality, secret_ledger, simhash, token_store, url_filter
 from .common import new_path
 
 
@@ -76,6 +76,28 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found(pii.find(table(spark, sf_dir, "documents")), pii.BASE)
 
 
+def dealt(id_col: str, parts: int) -> Column:
+    """A document's part, by the crc32 of its id as text."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model | None:
+    return quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), dealt("doc_id", 5) != 0)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", F.coalesce(dealt("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", predicted)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.train(documents, dealt("doc_id", 4) != 2)
+    held_out = F.coalesce(dealt("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    return language.identify(documents, model).select("doc_id", held_out, "lang_pred", "score", "accepted")
+
+
 #: The rules of the contract (fixed values): verdict, host, path.
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -103,7 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_replay": op4_bpe_replay,
     "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,
+    "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
+    "op9_language": op9_language,
     "op10_secret_ledger": op10_secret_ledger,
 }
 
