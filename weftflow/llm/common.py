@@ -76,7 +76,7 @@ class UnitCache:
     never depend on what is held.
     """
 
-    def __init__(self, compute: Callable[[list], list[bytes]], most: int = 200_000, longest: int = 256):
+    def __init__(self, compute: Callable[[list], list[bytes]], most: int = 100_000, longest: int = 256):
         self.compute, self.most, self.longest = compute, most, longest
         self.young: dict = {}
         self.old: dict = {}

@@ -45,10 +45,18 @@ def cut(text: str) -> list[str]:
 
 
 class PieceCoder:
-    """Packed values of pieces: each is split into words, and each new word is coded once."""
+    """Packed values of pieces: each is split into words, and each new word is coded once.
+
+    Pieces after a blank are remembered in two Arrow arrays, which take little memory and are looked up for a
+    whole slice at once; words in a bounded memo. Results never depend on what is remembered.
+    """
+
+    #: Pieces that are remembered, and the length in bytes of the longest.
+    MOST, LONGEST = 600_000, 64
 
     def __init__(self, split: Callable[[str], list[str]], code: Callable[[list[str]], list[bytes]]):
-        self.split, self.words = split, UnitCache(code)
+        self.split, self.words = split, UnitCache(code, most=100_000)
+        self.known, self.values = pa.array([], pa.string()), pa.array([], pa.binary())
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
         split = self.split
@@ -57,6 +65,26 @@ class PieceCoder:
         get = self.words.ready(words).__getitem__
         return [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in words]
 
+    def after_blank(self, pieces: pa.StringArray) -> tuple[np.ndarray, pa.BinaryArray]:
+        """Values, and for each of the distinct ``pieces`` the place of its own, with a blank before it."""
+        found = pc.index_in(pieces, value_set=self.known)
+        at, new = found.fill_null(0).to_numpy().copy(), np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        values = self.values
+        if len(new):
+            fresh = pieces.take(pa.array(new))
+            coded = pa.array(self([" " + x for x in fresh.to_numpy(zero_copy_only=False).tolist()]), pa.binary())
+            at[new] = len(values) + np.arange(len(new))
+            values = pa.concat_arrays([values, coded])
+            short = pc.less_equal(pc.binary_length(fresh), self.LONGEST)
+            if len(self.known) + len(new) > self.MOST:  # begin again with what this slice has
+                again = pieces.filter(found.is_valid())
+                self.known = pa.concat_arrays([again, fresh.filter(short)])
+                self.values = pa.concat_arrays([self.values.take(found.drop_null()), coded.filter(short)])
+            else:
+                self.known = pa.concat_arrays([self.known, fresh.filter(short)])
+                self.values = pa.concat_arrays([self.values, coded.filter(short)])
+        return at, values
+
 
 def packed(texts: pa.Array, coder: PieceCoder) -> pa.BinaryArray:
     """The joined values of the pieces of each text; ``texts`` are strings without nulls."""
@@ -88,14 +116,15 @@ def _fast(texts: pa.Array, coder: PieceCoder) -> pa.BinaryArray:
     split = pc.split_pattern(texts, " ")
     offsets = split.offsets.to_numpy()
     coded = split.values.dictionary_encode()
-    at, distinct = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False)
-    units = [" " + piece for piece in distinct.tolist()]
+    at = coded.indices.to_numpy()
+    places, values = coder.after_blank(coded.dictionary)
     first = offsets[:-1]  # the first piece of a text has no blank before it
-    heads = distinct[at[first]].tolist()
-    values = coder(units + [head for head in heads if head])
-    values.append(b"")
-    real = np.array([bool(head) for head in heads])
-    at[first] = np.where(real, len(units) - 1 + np.cumsum(real), len(values) - 1)
-    picked = pa.array(values, pa.binary()).take(pa.array(at))
+    heads = coded.dictionary.take(pa.array(at[first])).to_pylist()
+    own = iter(coder([head for head in heads if head]))
+    start = len(values)
+    values = pa.concat_arrays([values, pa.array([next(own) if head else b"" for head in heads], pa.binary())])
+    at = places[at]
+    at[first] = start + np.arange(len(first))
+    picked = values.take(pa.array(at))
     ends = np.frombuffer(picked.buffers()[1], dtype=np.int32)[offsets]
     return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), picked.buffers()[2]])

@@ -30,8 +30,18 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if bits >= 32 and values.dtype == np.uint32:
             chosen[: n - count + 1] = selector
             continue
-        wide = np.flatnonzero(values >= values.dtype.type(1 << bits))
-        first, end = np.append(-1, wide) + 1, np.append(wide, n)  # runs of integers that are narrow enough
+        narrow = values < values.dtype.type(1 << bits)
+        few = int(np.count_nonzero(narrow))
+        if few < count:
+            continue
+        # [first, end) of the runs of integers that are narrow enough, from whichever kind is rarer
+        if 2 * few < n:
+            at = np.flatnonzero(narrow)
+            gap = np.flatnonzero(np.diff(at) != 1)
+            first, end = at[np.append(0, gap + 1)], at[np.append(gap, few - 1)] + 1
+        else:
+            wide = np.flatnonzero(~narrow)
+            first, end = np.append(-1, wide) + 1, np.append(wide, n)
         long = end - first >= count
         if long.any():
             turns = np.zeros(n + 1, dtype=np.int8)

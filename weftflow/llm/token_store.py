@@ -25,6 +25,7 @@ empty table makes no shard and an empty manifest.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -48,17 +49,44 @@ _ENCODERS: dict[str, PieceCoder] = {}
 #: Splits pieces of ASCII as the tokenizer does; others go to it whole.
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 
+#: The visible characters that byte-level vocabularies write for bytes: themselves, or 256 and up.
+_BYTE_CHARACTERS = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
+_BLANK = _BYTE_CHARACTERS[32]
+#: Below this all versions of Unicode agree on what is a letter.
+_SETTLED = "\u0250"
+
 
 def _encoder(tokenizer_path: str) -> PieceCoder:
     """Whole texts are encoded by the pieces between which the tokenizer's own pattern always cuts."""
     if tokenizer_path not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.encode_special_tokens = True
 
+        tokenize = tokenizer.model.tokenize
+
         def code(words: list[str]) -> list[bytes]:
-            return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            # the model alone codes words that are surely one match of the tokenizer's own pattern
+            out: list[bytes] = []
+            wide = []
+            for k, w in enumerate(words):
+                if w.isascii():
+                    if w[0] == " " and w[1:].isalpha():
+                        w = _BLANK + w[1:]
+                    elif not w.isalpha():
+                        w = w.translate(_BYTE_CHARACTERS)
+                elif max(w) < _SETTLED and (w[1:].isalpha() and (w[0] == " " or w[0].isalpha())):
+                    w = w.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+                else:
+                    wide.append(k)
+                    out.append(b"")
+                    continue
+                out.append(array("I", [t.id for t in tokenize(w)]).tobytes())
+            for k, x in zip(wide, tokenizer.encode_batch_fast([words[k] for k in wide], add_special_tokens=False)):
+                out[k] = array("I", x.ids).tobytes()
+            return out
 
         def split(piece: str) -> list[str]:
             return _ASCII_WORDS.findall(piece) if piece.isascii() else [piece]
