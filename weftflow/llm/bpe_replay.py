@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import list_array, slices
-from .pieces import PieceCoder, packed
+from .pieces import PieceCoder, held, packed
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -225,19 +225,19 @@ class MergeReplay:
             heapq.heappush(heap, rank)
 
 
-_ENCODERS: dict[tuple[str, str], PieceCoder] = {}
 _TABLES: dict[str, pa.BinaryArray] = {}
 #: Documents that are decoded at once.
 ROWS = 512
 
 
 def _encoder(ranks_path: str, pattern: str) -> PieceCoder:
-    """One for each vocabulary and Python worker."""
-    key = (ranks_path, pattern)
-    if key not in _ENCODERS:
+    """The worker's coder for a vocabulary."""
+
+    def make() -> PieceCoder:
         replay = MergeReplay(read_ranks(ranks_path))
-        _ENCODERS[key] = PieceCoder(regex.compile(pattern).findall, lambda words: replay.encode(list(map(str.encode, words))))
-    return _ENCODERS[key]
+        return PieceCoder(regex.compile(pattern).findall, lambda words: replay.encode(list(map(str.encode, words))))
+
+    return held(("bpe", ranks_path, pattern), make)
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python worker handles at once (one longer text is handled alone, and whole).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .pieces import release
 
 BUCKETS = 1 << 15
 SIZE = 12
@@ -199,6 +200,7 @@ def identify(documents: DataFrame, model: Model | None, id_col: str = "doc_id",
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 texts = part.column(1).to_pylist()

@@ -52,7 +52,7 @@ class PieceCoder:
     """
 
     #: Pieces that are remembered, and the length in bytes of the longest.
-    MOST, LONGEST = 600_000, 64
+    MOST, LONGEST = 300_000, 64
 
     def __init__(self, split: Callable[[str], list[str]], code: Callable[[list[str]], list[bytes]]):
         self.split, self.words = split, UnitCache(code, most=100_000)
@@ -86,6 +86,22 @@ class PieceCoder:
         return at, values
 
 
+_HELD: dict[object, PieceCoder] = {}
+
+
+def held(key: object, make: Callable[[], PieceCoder]) -> PieceCoder:
+    """The worker's coder for ``key``. A worker serves many stages; it holds one coder at a time."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """Forget the worker's coder; stages that need none call this, so that its memory is free for them."""
+    _HELD.clear()
+
+
 def packed(texts: pa.Array, coder: PieceCoder) -> pa.BinaryArray:
     """The joined values of the pieces of each text; ``texts`` are strings without nulls."""
     n = len(texts)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .pieces import PieceCoder, packed
+from .pieces import PieceCoder, held, packed
 
 BUCKETS = 1 << 14
 SIZE = 48
@@ -62,7 +62,7 @@ def _code(words: list[str]) -> list[bytes]:
 
 
 def coder() -> PieceCoder:
-    return PieceCoder(lambda piece: [piece], _code)
+    return held("quality", lambda: PieceCoder(lambda piece: [piece], _code))
 
 
 def buckets(texts: pa.Array, own: PieceCoder) -> list[np.ndarray]:

@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     manifest = token_store.write(documents, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return token_store.digests(token_store.read(manifest))
+    return token_store.digests(manifest)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 from .components import components
+from .pieces import release
 
 SHINGLE = 3
 BITS = 3
@@ -80,6 +81,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``doc_id, fp``: the fingerprint of each whole text as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 found = simhashes(part.column(1).to_pylist(), size).view(np.int64)

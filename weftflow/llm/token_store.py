@@ -40,12 +40,11 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import new_path, slices
-from .pieces import PieceCoder, packed
+from .pieces import PieceCoder, held, packed, release
 
 MAGIC = b"W8B1"
 BLOCK = 1 << 16
 MANIFEST = "shard int, path string, documents long, ids long"
-_ENCODERS: dict[str, PieceCoder] = {}
 #: Splits pieces of ASCII as the tokenizer does; others go to it whole.
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 
@@ -58,7 +57,8 @@ _SETTLED = "\u0250"
 
 def _encoder(tokenizer_path: str) -> PieceCoder:
     """Whole texts are encoded by the pieces between which the tokenizer's own pattern always cuts."""
-    if tokenizer_path not in _ENCODERS:
+
+    def make() -> PieceCoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
@@ -91,8 +91,9 @@ def _encoder(tokenizer_path: str) -> PieceCoder:
         def split(piece: str) -> list[str]:
             return _ASCII_WORDS.findall(piece) if piece.isascii() else [piece]
 
-        _ENCODERS[tokenizer_path] = PieceCoder(split, code)
-    return _ENCODERS[tokenizer_path]
+        return PieceCoder(split, code)
+
+    return held(("tokenizer", tokenizer_path), make)
 
 
 def open_path(uri: str):
@@ -238,57 +239,65 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
-def read(manifest: DataFrame) -> DataFrame:
-    """``doc_id``, ``start`` (ids of all documents before it) and ``ids``, from the shards of a manifest.
+def _laid_out(manifest: DataFrame) -> DataFrame:
+    """``path, first`` of each shard: one row, alone in its partition, with the ids of all shards before it.
 
-    The manifest has one row for each shard; only these few rows are gathered, to lay the shards end to end.
+    The manifest has one row for each shard; only these few rows are gathered.
     """
-    spark = manifest.sparkSession
     rows, base = [], 0
     for row in sorted(manifest.collect(), key=lambda r: r.shard):
         rows.append((row.path, base))
         base += row.ids
+    shards = manifest.sparkSession.createDataFrame(rows, "path string, first long")
+    return shards.repartition(len(rows)) if rows else shards
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, np.ndarray]]:
+    """(document id, start, ids) of all documents of the shards in rows of :func:`_laid_out`."""
+    release()
+    for batch in batches:
+        for path, first in zip(*(c.to_pylist() for c in batch.columns)):
+            files, at = open_path(path)
+            with files.open_input_file(at) as stream:
+                for doc_id, start, ids in Shard(stream, stream.size()).documents():
+                    yield doc_id, first + start, ids
+
+
+def read(manifest: DataFrame) -> DataFrame:
+    """``doc_id``, ``start`` (ids of all documents before it) and ``ids`` of every document, from the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, first in zip(*(c.to_pylist() for c in batch.columns)):
-                files, at = open_path(path)
-                with files.open_input_file(at) as stream:
-                    docs: list = []
-                    held = 0
-                    for doc in Shard(stream, stream.size()).documents():
-                        docs.append(doc)
-                        held += len(doc[2])
-                        if held >= 1 << 18:
-                            yield _rows(docs, first)
-                            docs, held = [], 0
-                    if docs:
-                        yield _rows(docs, first)
-
-    shards = spark.createDataFrame(rows, "path string, first long")
-    if rows:
-        shards = shards.repartition(len(rows))
-    return shards.mapInArrow(run, "doc_id long, start long, ids array<long>")
-
-
-def _rows(docs: list, first: int) -> pa.RecordBatch:
-    sizes = np.array([0, *(len(x) for _, _, x in docs)], dtype=np.int32)
-    values = np.concatenate([x for _, _, x in docs]).astype(np.int64)
-    ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(values))
-    starts = pa.array([first + start for _, start, _ in docs], pa.int64())
-    return pa.record_batch([pa.array([x for x, _, _ in docs], pa.int64()), starts, ids], names=["doc_id", "start", "ids"])
-
-
-def digests(read_back: DataFrame) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` of each document of :func:`read`."""
+        docs, held_ids = [], 0
+        for doc in _documents(batches):
+            docs.append(doc)
+            held_ids += len(doc[2])
+            if held_ids >= 1 << 18:
+                yield rows(docs)
+                docs, held_ids = [], 0
+        if docs:
+            yield rows(docs)
+
+    def rows(docs: list) -> pa.RecordBatch:
+        ends = np.cumsum([0, *(len(ids) for _, _, ids in docs)], dtype=np.int32)
+        values = np.concatenate([ids for _, _, ids in docs]).astype(np.int64)
+        columns = [pa.array([x for x, _, _ in docs], pa.int64()), pa.array([start for _, start, _ in docs], pa.int64())]
+        return pa.record_batch([*columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], names=["doc_id", "start", "ids"])
+
+    return _laid_out(manifest).mapInArrow(run, "doc_id long, start long, ids array<long>")
+
+
+def digests(manifest: DataFrame) -> DataFrame:
+    """``doc_id``, ``start``, ``n_tokens`` and ``ids_crc32`` of every document, as the shards are read."""
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(2)
-            values = ids.values.to_numpy(zero_copy_only=False).astype("<u4")
-            cuts = ids.offsets.to_pylist()
-            crc = [zlib.crc32(values[a:b]) for a, b in zip(cuts, cuts[1:])]
-            sizes = [b - a for a, b in zip(cuts, cuts[1:])]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_back.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        found = []
+        for doc_id, start, ids in _documents(batches):
+            found.append((doc_id, start, len(ids), zlib.crc32(ids.astype("<u4"))))
+            if len(found) >= 4096:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=names)
+                found = []
+        if found:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found)], names=names)
+
+    return _laid_out(manifest).mapInArrow(run, ", ".join(f"{name} long" for name in names))
