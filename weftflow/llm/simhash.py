@@ -104,9 +104,9 @@ def keyed(fps: DataFrame, chosen: list[int]) -> DataFrame:
     return fps.select(F.explode(keys).alias("key"), "fp")
 
 
-def forest(fps: np.ndarray) -> Iterator[tuple[int, int]]:
+def forest(fps: np.ndarray) -> Iterator[tuple[np.uint64, np.uint64]]:
     """Edges of a spanning forest of the links between distinct fingerprints."""
-    rest = fps
+    rest = fps.view(np.uint64)  # of signed numbers, bits would be counted in the absolute value
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
@@ -116,7 +116,7 @@ def forest(fps: np.ndarray) -> Iterator[tuple[int, int]]:
                 found = rest[near]
                 rest = rest[~near]
                 front.extend(found)
-                yield from ((int(at), int(x)) for x in found)
+                yield from ((at, x) for x in found)
 
 
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,15 +125,16 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def edges(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sizes = np.diff(np.append(first, len(keys)))
+        bits = fps.view(np.uint64)
         a, b = [], []
         small = np.repeat(sizes <= 8, sizes)
         for lag in range(1, min(8, int(sizes.max(initial=0)))):
-            close = (keys[lag:] == keys[:-lag]) & small[lag:] & (np.bitwise_count(fps[lag:] ^ fps[:-lag]) <= BITS)
+            close = (keys[lag:] == keys[:-lag]) & small[lag:] & (np.bitwise_count(bits[lag:] ^ bits[:-lag]) <= BITS)
             a.append(fps[:-lag][close])
             b.append(fps[lag:][close])
         more = [e for k in np.flatnonzero(sizes > 8) for e in forest(fps[first[k] : first[k] + sizes[k]])]
         if more:
-            pairs = np.array(more, dtype=np.int64)
+            pairs = np.array(more, dtype=np.uint64).view(np.int64)
             a.append(pairs[:, 0])
             b.append(pairs[:, 1])
         none = np.zeros(0, dtype=np.int64)
