@@ -46,7 +46,7 @@ MAGIC = b"W8B1"
 BLOCK = 1 << 16
 MANIFEST = "shard int, path string, documents long, ids long"
 #: Splits pieces of ASCII as the tokenizer does; others go to it whole.
-_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
 
 #: The visible characters that byte-level vocabularies write for bytes: themselves, or 256 and up.
 _BYTE_CHARACTERS = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
