@@ -51,11 +51,11 @@ class PieceCoder:
     whole slice at once; words in a bounded memo. Results never depend on what is remembered.
     """
 
-    #: Pieces that are remembered, and the length in bytes of the longest.
-    MOST, LONGEST = 300_000, 64
+    #: Length in bytes of the longest piece that is remembered.
+    LONGEST = 64
 
-    def __init__(self, split: Callable[[str], list[str]], code: Callable[[list[str]], list[bytes]]):
-        self.split, self.words = split, UnitCache(code, most=100_000)
+    def __init__(self, split: Callable[[str], list[str]], code: Callable[[list[str]], list[bytes]], pieces: int = 300_000, words: int = 100_000):
+        self.split, self.words, self.most = split, UnitCache(code, most=words), pieces
         self.known, self.values = pa.array([], pa.string()), pa.array([], pa.binary())
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
@@ -76,7 +76,7 @@ class PieceCoder:
             at[new] = len(values) + np.arange(len(new))
             values = pa.concat_arrays([values, coded])
             short = pc.less_equal(pc.binary_length(fresh), self.LONGEST)
-            if len(self.known) + len(new) > self.MOST:  # begin again with what this slice has
+            if len(self.known) + len(new) > self.most:  # begin again with what this slice has
                 again = pieces.filter(found.is_valid())
                 self.known = pa.concat_arrays([again, fresh.filter(short)])
                 self.values = pa.concat_arrays([self.values.take(found.drop_null()), coded.filter(short)])

@@ -17,11 +17,11 @@ _BY_BITS = sorted((bits, n, k) for k, (n, bits) in enumerate(SELECTORS) if k)
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of ``values`` (unsigned), each with as many integers as fit, and the escaped values."""
-    values = np.ascontiguousarray(values, dtype=np.uint64)
+    values = np.ascontiguousarray(values, dtype=None if values.dtype == np.uint32 else np.uint64)
     n = len(values)
     if n == 0:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-    if values.max() < 1 << 32:
+    if values.dtype == np.uint64 and values.max() < 1 << 32:
         values = values.astype(np.uint32)
     chosen = np.zeros(n, dtype=np.int8)  # the selector for a word that starts here; 0 stays for escapes
     for bits, count, selector in sorted(_BY_BITS, key=lambda x: x[1]):  # the largest count that fits comes last
@@ -61,9 +61,12 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not bits:
             continue
         which = np.flatnonzero(selectors == selector)
-        held = values[first[which][:, None] + np.arange(count)].astype(np.uint64)
-        words[which] |= np.bitwise_or.reduce(held << (np.arange(count, dtype=np.uint64) * np.uint64(bits)), axis=1)
-    return words, values[first[selectors == 0]]
+        at = first[which]
+        word = values[at].astype(np.uint64)
+        for k in range(1, count):
+            word |= values[at + k].astype(np.uint64) << np.uint64(k * bits)
+        words[which] |= word
+    return words, values[first[selectors == 0]].astype(np.uint64)
 
 
 def unpack(words: np.ndarray, escaped: np.ndarray) -> np.ndarray:

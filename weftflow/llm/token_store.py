@@ -91,7 +91,7 @@ def _encoder(tokenizer_path: str) -> PieceCoder:
         def split(piece: str) -> list[str]:
             return _ASCII_WORDS.findall(piece) if piece.isascii() else [piece]
 
-        return PieceCoder(split, code)
+        return PieceCoder(split, code, pieces=1_000_000, words=150_000)
 
     return held(("tokenizer", tokenizer_path), make)
 
