@@ -11,7 +11,8 @@ Base kinds are leftmost non-overlapping matches, a failed match being dropped wi
 digits, 20 or more in all) and ``hex`` (24 or more lower-case hex digits). The rules add ``private_key``,
 ``jwt`` and ``vendor`` tokens; these never change base ones. Positions are code points, ends exclusive.
 
-Edge cases: a null text is the empty blob; repeated rows share a blob and are repeated in the result; null
+Edge cases: a null text is the empty blob; repeated rows share a blob and are repeated in the result (rows
+that repeat an id and its text are scanned as often, and count once in what is read from the ledger); null
 document ids are ids like others; other columns are left out, so their names can't clash; an empty table
 scans nothing and gives an empty result.
 """
