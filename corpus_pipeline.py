@@ -44,8 +44,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids``."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe_replay.encode(docs, ranks, public_tokenizers.PATTERN)
-    return bpe_digests(bpe_replay.decode(encoded, ranks), "ids")
+    return bpe_digests(bpe_replay.encode_and_decode(docs, ranks, public_tokenizers.PATTERN), "ids")
 
 
 STAGES = [

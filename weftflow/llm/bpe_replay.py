@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import list_array, slices
-from .pieces import PieceCoder, held, packed
+from .pieces import PieceCoder, held, packed, release
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -246,17 +246,43 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     ``pattern`` must put a blank between visible characters at the start of a match, as the public ones do.
     A null text counts as empty.
     """
+    return _coded(df, ranks_path, pattern, id_col, text_col, False)
 
+
+def encode_and_decode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`encode` and then :func:`decode`, in one pass through one Python worker."""
+    return _coded(df, ranks_path, pattern, id_col, text_col, True)
+
+
+def _coded(df: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, back: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = list_array(packed(part.column(1), encoder), "<u4", pa.int32())
-                yield pa.record_batch([part.column(0), ids], names=["doc_id", "ids"])
+                for at in range(0, len(ids), ROWS):
+                    columns = [part.column(0).slice(at, ROWS), ids.slice(at, ROWS)]
+                    yield pa.record_batch(columns + [_texts(columns[1], ranks_path)] * back, names=["doc_id", "ids", "decoded"][: 2 + back])
 
     kind = df.schema[id_col].dataType.simpleString()
     read = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return read.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return read.mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", decoded binary" * back)
+
+
+def _texts(ids: pa.ListArray, ranks_path: str) -> pa.BinaryArray:
+    """The bytes that each list of ids stands for."""
+    if ranks_path not in _TABLES:
+        ranks = read_ranks(ranks_path)
+        table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        _TABLES[ranks_path] = pa.array(table, pa.binary())
+    tokens = _TABLES[ranks_path].take(ids.flatten())
+    if tokens.null_count:
+        raise ValueError("an id isn't in the vocabulary")
+    offsets = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    ends = np.frombuffer(tokens.buffers()[1], dtype=np.int32)[offsets - offsets[0]]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), tokens.buffers()[2]])
 
 
 def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -266,24 +292,11 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if ranks_path not in _TABLES:
-            ranks = read_ranks(ranks_path)
-            table: list[bytes | None] = [None] * (max(ranks.values()) + 1)
-            for token, rank in ranks.items():
-                table[rank] = token
-            _TABLES[ranks_path] = pa.array(table, pa.binary())
-        table = _TABLES[ranks_path]
+        release()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                ids = part.column(1)
-                tokens = table.take(ids.flatten())
-                if tokens.null_count:
-                    raise ValueError("an id isn't in the vocabulary")
-                offsets = np.frombuffer(ids.buffers()[1], dtype=np.int32)[ids.offset : ids.offset + len(ids) + 1]
-                ends = np.frombuffer(tokens.buffers()[1], dtype=np.int32)[offsets - offsets[0]]
-                texts = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends.tobytes()), tokens.buffers()[2]])
-                yield pa.record_batch([part.column(0), ids, texts], names=["doc_id", "ids", "decoded"])
+                yield pa.record_batch([part.column(0), part.column(1), _texts(part.column(1), ranks_path)], names=["doc_id", "ids", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
     read = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))

@@ -37,8 +37,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe_replay.encode(documents, ranks, public_tokenizers.PATTERN)
-    return bpe_digests(bpe_replay.decode(encoded, ranks))
+    return bpe_digests(bpe_replay.encode_and_decode(documents, ranks, public_tokenizers.PATTERN))
 
 
 def bpe_digests(decoded: DataFrame, *more: str) -> DataFrame:
