@@ -80,18 +80,21 @@ class UnitCache:
         self.compute, self.most, self.longest = compute, most, longest
         self.young: dict = {}
         self.old: dict = {}
+        self.long: list = []
 
     def ready(self, groups: list[list]) -> dict:
-        """A mapping that holds all pieces of all groups."""
+        """A mapping that holds all pieces of all groups, until the next call; long pieces are held no longer."""
+        for piece in self.long:
+            del self.young[piece]
         wanted = set().union(*groups)
         fresh = wanted.difference(self.young)
         if len(self.young) + len(fresh) > self.most:
-            self.old = {k: v for k, v in self.young.items() if len(k) <= self.longest}
-            self.young, fresh = {}, wanted
+            self.old, self.young, fresh = self.young, {}, wanted
         known = fresh & self.old.keys()
         self.young.update((piece, self.old[piece]) for piece in known)
         new = list(fresh - known)
         self.young.update(zip(new, self.compute(new)))
+        self.long = [piece for piece in new if len(piece) > self.longest]
         return self.young
 
 
@@ -102,8 +105,3 @@ def list_array(packed: pa.BinaryArray, kind: str, arrow: pa.DataType) -> pa.List
     data = packed.buffers()[2]
     values = np.frombuffer(data, dtype=np.uint8)[: offsets[-1]] if data else np.zeros(0, np.uint8)
     return pa.ListArray.from_arrays(pa.array(offsets // size), pa.array(values.view(kind)).cast(arrow))
-
-
-def sized(packed: pa.BinaryArray) -> np.ndarray:
-    """Bytes in each row."""
-    return np.diff(np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset : packed.offset + len(packed) + 1])

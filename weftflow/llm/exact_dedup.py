@@ -18,7 +18,7 @@ they are called; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -40,7 +40,8 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: b
     return df.select(F.col(id_col).alias("doc_id"), F.length(text).alias("chars"), normalised(text).alias("norm"), *whole).select(
         "doc_id",
         "chars",
-        F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("digest"),
+        # said never to be null, lest joins make it twice to look
+        F.coalesce(F.unhex(F.sha2(F.col("norm").cast("binary"), 256)), F.lit(bytearray())).alias("digest"),
         F.xxhash64("norm").alias("check"),
         F.octet_length("norm").alias("size"),
         *(["row"] if row else []),
@@ -82,14 +83,16 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """The rows of ``df`` that stay, with all its columns."""
     digests, _ = written(digest(df, id_col, text_col).withColumn("copies", F.lit(1)), "digests")
     best = merged(digests).select(*KEY, F.col("best.doc_id").alias("doc_id"), (-F.col("best.chars")).alias("chars"))
-    keepers, _ = written(best, "digest-runs")
-    rows, own = digest(df, id_col, text_col, row=True).alias("a"), keepers.alias("b")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "chars", *KEY)]
-    on = same[0]
-    for condition in same[1:]:
-        on = on & condition
-    first = F.row_number().over(Window.partitionBy("doc_id", "chars", *KEY).orderBy("doc_id"))
-    return rows.join(own, on, "left_semi").withColumn("nth", first).where("nth = 1").select("row.*")
+    keepers, _ = written(best.select(*KEY, *_exact_id()), "digest-runs")
+    # plain equal keys, so that dropping copies needs no second exchange or sort of whole rows
+    key = [*KEY, *(c for c in keepers.columns if c not in KEY)]
+    rows = digest(df, id_col, text_col, row=True).select(*KEY, *_exact_id(), "row").join(keepers, key, "left_semi")
+    return rows.groupBy(*key).agg(F.first("row").alias("row")).select("row.*")
+
+
+def _exact_id() -> list[Column]:
+    """Columns without nulls that tell document ids, null too, and lengths apart."""
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), F.col("doc_id").isNull().alias("no_id"), F.col("chars")]
 
 
 ORACLE_SQL = r"""

@@ -11,7 +11,7 @@ labelled rows that the caller allows; ids, languages, sources and labels are nev
 Scoring is one narrow pass over whole texts.
 
 Edge cases: null and empty texts have no tokens and get the score of a zero vector; labels are 0 or 1, and
-null labels or labels of unknown documents teach nothing; several labels of a document all count; with no
+null labels or labels of unknown documents teach nothing; different labels of a document all count, equal ones once; with no
 usable labels every score is 0.5; other columns are left out (:func:`score`) or kept (:func:`keep`) whatever
 their names; an empty table gives an empty result.
 """
@@ -100,9 +100,10 @@ def features(docs: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((len(docs), SIZE + 4), dtype=np.float32)
     for k, doc in enumerate(docs):
         if len(doc):
-            out[k, :SIZE] = np.bincount(doc, minlength=BUCKETS).astype(np.float32) @ vectors if len(doc) > BUCKETS else vectors[doc].mean(axis=0)
             if len(doc) > BUCKETS:
-                out[k, :SIZE] /= len(doc)
+                out[k, :SIZE] = np.bincount(doc, minlength=BUCKETS).astype(np.float32) @ vectors / len(doc)
+            else:
+                out[k, :SIZE] = vectors[doc].mean(axis=0)
             out[k, SIZE] = np.mean(doc[1:] == doc[:-1]) if len(doc) > 1 else 0
             out[k, SIZE + 1] = len(np.unique(doc)) / np.sqrt(len(doc))
             out[k, SIZE + 2] = np.log1p(len(doc))
@@ -164,7 +165,7 @@ def train(documents: DataFrame, labels: DataFrame, allowed: Column, sample: int
     bucket numbers on the executors, and only those come to the driver.
     """
     usable = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).where(allowed & F.col("label").isin(0, 1))
-    usable = usable.select(F.col(id_col).alias("label_id"), "label")
+    usable = usable.select(F.col(id_col).alias("label_id"), "label").distinct()
     total = usable.count()
     if total > sample:
         usable = usable.where(F.pmod(F.xxhash64("label_id"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
