@@ -11,7 +11,7 @@ import numpy as np
 
 #: (integers, bits each) by selector; selector 0 marks an escape (fixed values of the format).
 SELECTORS = ((1, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60), (240, 0))
-_COUNTS = np.array([n for n, _ in SELECTORS], dtype=np.int64)
+_COUNTS = np.array([n for n, _ in SELECTORS], dtype=np.int32)
 _BY_BITS = sorted((bits, n, k) for k, (n, bits) in enumerate(SELECTORS) if k)
 
 
@@ -48,12 +48,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             turns[first[long]] = 1
             turns[end[long] - count + 1] = -1
             np.copyto(chosen, selector, where=np.cumsum(turns[:n], dtype=np.int8).view(bool))
-    steps = _COUNTS[chosen].tolist()
-    starts, p = [], 0
-    while p < n:
-        starts.append(p)
-        p += steps[p]
-    first = np.array(starts, dtype=np.int64)
+    first = _chain(_COUNTS[chosen])
     selectors = chosen[first]
     words = selectors.astype(np.uint64) << np.uint64(60)
     for selector in np.unique(selectors).tolist():
@@ -69,12 +64,32 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, values[first[selectors == 0]].astype(np.uint64)
 
 
+def _chain(steps: np.ndarray, levels: int = 5) -> np.ndarray:
+    """The positions met from 0 on when every position says how far the next one is.
+
+    Jumps of 2, 4, 8, ... steps are made for all positions at once; only each 32nd position is walked to, and
+    those between are filled in from the longest jump down.
+    """
+    n = len(steps)
+    jumps = [np.append(np.minimum(np.arange(n) + steps, n), n).astype(np.int32)]
+    for _ in range(levels):
+        jumps.append(jumps[-1][jumps[-1]])
+    walked, at = [], 0
+    while at < n:
+        walked.append(at)
+        at = int(jumps[levels][at])
+    met = np.array(walked, dtype=np.int32)
+    for jump in reversed(jumps[:levels]):
+        met = np.stack([met, jump[met]], axis=1).ravel()
+    return met[met < n]
+
+
 def unpack(words: np.ndarray, escaped: np.ndarray) -> np.ndarray:
     """The values that :func:`pack` was given."""
     words = np.ascontiguousarray(words, dtype=np.uint64)
     selectors = (words >> np.uint64(60)).astype(np.int64)
     counts = _COUNTS[selectors]
-    ends = np.cumsum(counts)
+    ends = np.cumsum(counts, dtype=np.int64)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint64)
     for selector in np.unique(selectors).tolist():
         count, bits = SELECTORS[selector]

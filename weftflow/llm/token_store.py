@@ -220,7 +220,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id
         files, folder = open_path(f"{path}/shards")
         name = f"{shard:06d}-{uuid.uuid4().hex}.w8b"
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 8 << 20):
                 if writer is None:
                     files.create_dir(folder, recursive=True)
                     out = files.open_output_stream(f"{folder}/{name}")
