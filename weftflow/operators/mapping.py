@@ -70,6 +70,11 @@ class Mapper:
         self.emitted += [(shard, key, value) for shard in range(self.context.shards)]
 
 
+def objects(column: pa.Array) -> list:
+    """Python objects of a string, binary or whole-number column; numbers must not be null."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def run_mapper(df: DataFrame, mapper: str | Callable[[], Mapper], context: Context, by_file: bool = False, kind: str = "string") -> DataFrame:
     """``shard, key, value`` of what a mapper (a class or a registered name) emits for ``df(key, value, file)``.
 
@@ -92,7 +97,7 @@ def run_mapper(df: DataFrame, mapper: str | Callable[[], Mapper], context: Conte
             return pa.record_batch([pa.array(shards, pa.int32()), pa.array(keys, arrow), pa.array(values, arrow)], names=["shard", "key", "value"])
 
         for batch in batches:
-            for key, value, at in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for key, value, at in zip(*(objects(batch.column(k)) for k in range(3))):
                 if at != file:
                     if file is not None:
                         own.flush()

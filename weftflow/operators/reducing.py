@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .mapping import BATCH, Context
+from .mapping import BATCH, Context, objects
 from .registry import reducer_class
 from .routing import to_shards
 
@@ -95,7 +95,7 @@ def run_reducer(mapped: DataFrame, reducer: str | Callable[[], Reducer] | list,
 
         def rows() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(column.to_pylist() for column in batch.columns))
+                yield from zip(*map(objects, batch.columns))
 
         def sent() -> pa.RecordBatch:
             channels, keys, values = zip(*own.emitted) if own.emitted else ((), (), ())
