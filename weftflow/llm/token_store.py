@@ -38,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.paths import opened
 from . import simple8b
 from .common import new_path, slices
 from .pieces import PieceCoder, held, packed, release
@@ -96,17 +97,6 @@ def _encoder(tokenizer_path: str) -> PieceCoder:
     return held(("tokenizer", tokenizer_path), make)
 
 
-def open_path(uri: str):
-    """The pyarrow file system of a path or URI, and the path in it."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 class ShardWriter:
     """Writes one shard to a binary stream; holds one block of ids and the tables of documents."""
 
@@ -217,7 +207,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id
         encoder, end = _encoder(tokenizer_path), np.array([end_id], dtype="<u4").tobytes()
         shard = TaskContext.get().partitionId()
         writer = out = None
-        files, folder = open_path(f"{path}/shards")
+        files, folder = opened(f"{path}/shards")
         name = f"{shard:06d}-{uuid.uuid4().hex}.w8b"
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
@@ -257,7 +247,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None,
     release()
     for batch in batches:
         for path, first in zip(*(c.to_pylist() for c in batch.columns)):
-            files, at = open_path(path)
+            files, at = opened(path)
             with files.open_input_file(at) as stream:
                 for doc_id, start, ids in Shard(stream, stream.size()).documents():
                     yield doc_id, first + start, ids
