@@ -182,7 +182,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose document id is the smallest of its class, with all columns."""
+    """The rows of ``df`` whose document id is the smallest of its class, with all columns.
+
+    Rows with a null id can't be told apart: they stay where their class has no other id, and go where it has.
+    """
     first = near_duplicates(df, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first, _ = written(first.select(F.col("doc_id").alias("first_id")).distinct(), "first-of-class")
     rows = df.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row"))
