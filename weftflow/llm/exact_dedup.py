@@ -86,7 +86,7 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     keepers, _ = written(best.select(*KEY, *_exact_id()), "digest-runs")
     # plain equal keys, so that dropping copies needs no second exchange or sort of whole rows
     key = [*KEY, *(c for c in keepers.columns if c not in KEY)]
-    rows = digest(df, id_col, text_col, row=True).select(*KEY, *_exact_id(), "row").join(keepers, key, "left_semi")
+    rows = digest(df, id_col, text_col, row=True).select(*KEY, *_exact_id(), "row").join(keepers.hint("merge"), key, "left_semi")
     return rows.groupBy(*key).agg(F.first("row").alias("row")).select("row.*")
 
 

@@ -189,4 +189,5 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     first = near_duplicates(df, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first, _ = written(first.select(F.col("doc_id").alias("first_id")).distinct(), "first-of-class")
     rows = df.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row"))
-    return rows.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("row.*")
+    # the list of those that stay grows with the input, so it is never broadcast
+    return rows.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("row.*")
