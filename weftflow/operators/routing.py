@@ -36,3 +36,15 @@ def to_shards(df: DataFrame, shards: int, key: str | None = "key") -> DataFrame:
 def by_range(df: DataFrame, shards: int, *columns: str) -> DataFrame:
     """A total order: shards hold ascending ranges, each in order."""
     return df.repartitionByRange(shards, *columns).sortWithinPartitions(*columns)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores where it is a scan with fewer splits than there are cores, else as it is.
+
+    For rows that a costly step follows; large inputs have more splits than cores and aren't moved.
+    """
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().nodeName().startswith("Adaptive"):  # has exchanges, which deal rows already
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df

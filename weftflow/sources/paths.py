@@ -51,7 +51,18 @@ def opened(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path that all executors see: in ``spark.checkpoint.dir``, or where that is unset in a temporary folder."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset a local session gets a temporary one;
+    a cluster's executors wouldn't see that, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{(base or tempfile.mkdtemp(prefix='weftflow-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftflow-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return base.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path that all executors see."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
