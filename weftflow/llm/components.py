@@ -2,9 +2,10 @@
 
 Each round ties every node to the smallest node it knows; a round costs four joins or aggregations on edges
 alone, and the number of rounds grows with the logarithm of the components' diameter. The smallest
-neighbours are written before they are joined back, so that both sides of the join are plain exchanges and a
-node with very many edges is split by adaptive skew handling. Every round ends in a written table: a lost
-executor repeats at most one round. Nothing is gathered to the driver but two numbers a round.
+neighbours are written with the number of edges they meet, before they are joined back: a node with very many
+edges, as the root of a large component is, is joined by broadcast of its one row (:func:`common.joined`). Every
+round ends in a written table: a lost executor repeats at most one round. Nothing is gathered to the driver
+but a few numbers a round.
 """
 
 from __future__ import annotations
@@ -12,26 +13,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import Tables, joined
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, root`` for every node of ``edges(a, b)`` except the roots: the smallest node it is tied to."""
+    """``node, root`` for every node of ``edges(a, b)`` except the roots: the smallest node it is tied to.
+
+    The result reads a table in the shared folder.
+    """
     spark = edges.sparkSession
+    tables = Tables(spark)
     start = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    now, path = written(start, "edges")
+    now = tables.write(start, "edges")
     before = None
     while (mark := _mark(now)) != before:
         before = mark
+        spent, tables = tables, Tables(spark)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least, one = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-        large, two = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        lower, three = written(large.groupBy("u").agg(F.min("v").alias("m")), "lower")
+        least = spent.write(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("rows")), "least")
+        large = spent.write(joined(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        lower = spent.write(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows")), "lower")
         ties = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v"))))
-        small = large.join(lower, "u").select(ties.alias("t")).select("t.u", "t.v").where("u <> v").distinct()
-        now, after = written(small, "edges")
-        remove(spark, path, one, two, three)
-        path = after
+        small = joined(large, lower, ["u"]).select(ties.alias("t")).select("t.u", "t.v").where("u <> v").distinct()
+        now = tables.write(small, "edges")
+        spent.done()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
