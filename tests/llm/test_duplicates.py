@@ -8,7 +8,8 @@ import xxhash
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from weftflow.llm import exact_dedup, simhash
+from weftflow.llm import common, exact_dedup, secret_ledger, simhash
+from weftflow.llm.common import mark_of, new_path, written
 from weftflow.llm.components import components
 from weftflow.llm.queries import ORACLES, QUERIES
 
@@ -93,7 +94,7 @@ def test_simhash_query(spark):
 
 
 def test_simhash_odd_texts(spark):
-    texts = [None, "", " \t", "One", "one two", "ONE two", "a b c d", "É a b", "w " * 40000]
+    texts = [None, "", " \t", "One", "one two", "ONE two", "a b c d", "É a b", "w " * 40000, "some words " * 150000 + "x" * 1200000 + " at the end"]
     df = spark.createDataFrame(list(enumerate(texts)) + [(None, "one two"), (3, "One")], "doc_id long, text string")
     out = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df.withColumn("fp", F.lit(0))).collect()}
     assert {(0, "0" * 16, 0), (1, "0" * 16, 0), (2, "0" * 16, 0)} <= out
@@ -123,7 +124,7 @@ def test_links_of_clusters(spark, limit):
 
 
 def test_every_close_pair_shares_a_key():
-    for blocks, kept, most in ((5, 2, None), (16, 13, 1 << 12)):
+    for blocks, kept, most in ((5, 2, None), (8, 5, None), (16, 13, 1 << 12)):
         chosen = simhash.masks(blocks, kept)
         rng = random.Random(6)
         for _ in range(300):
@@ -143,3 +144,48 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(n, n) == label[n] for n in label)
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_hot_keys_fill_no_task(spark):
+    """A third of all rows are equal and adaptive execution is off: no partition of a result is crowded."""
+    hot = F.when(F.col("id") % 3 == 0, "token=abcdef12 one two three").otherwise(F.concat(F.lit("own words of number "), F.col("id")))
+    df, _ = written(spark.range(60000).select(F.col("id").alias("doc_id"), hot.alias("text")).repartition(8), "hot")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (exact_dedup.duplicates(df), secret_ledger.scan(df, new_path(spark, "ledger")), simhash.near_duplicates(df)):
+            sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 60000 and max(sizes) < 2 * 40000 / 4
+        edges = spark.range(1, 30000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+        assert components(edges).where("root = 0").count() == 29999
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_filtered_rows_are_exact_whatever_the_filter_lets_through(spark, monkeypatch):
+    rows = [(k % 50 if k % 7 else None, f"t{k % 90}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("mine"))
+    marked = df.select("doc_id", mark_of(F.col("text")).alias("mark"), "text").groupBy("doc_id", "mark").agg(F.count("*").alias("rows"), F.first("text").alias("text"))
+    listed = marked.where("doc_id is null or doc_id % 3 = 0").withColumn("stays", F.coalesce(F.col("doc_id") % 2 == 0, F.lit(True)))
+    goes = {(r.doc_id, r.text): r.stays for r in listed.collect()}
+    expected = sorted([r for r in rows if r not in goes] + [k for k, stays in goes.items() if stays], key=repr)
+    for share in (0.02, 0.99):
+        monkeypatch.setattr(common, "FALSE_HITS", share)
+        for few in (100, 2):
+            monkeypatch.setattr(common, "FEW", few)
+            tables = common.Tables(spark)
+            got = common.without(df, listed.drop("text"), tables).collect()
+            assert sorted([(r.doc_id, r.text) for r in got], key=repr) == expected and {r.row for r in got} == {"mine"}
+        got = common.only(df, listed.select("doc_id", "mark"), common.Tables(spark)).collect()
+        assert sorted([(r.doc_id, r.text) for r in got], key=repr) == sorted(goes, key=repr)
+
+
+def test_rounds_grow_with_the_number_of_runs(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 701).alias("text")).repartition(90)
+    digests, _ = written(exact_dedup.digest(df), "digests")
+    for runs in (1, 8, 33, 90):
+        best = {r.best.doc_id: r.rows for r in exact_dedup.merged(digests, runs).collect()}
+        assert best == {k: 4 + (k + 4 * 701 < 3000) for k in range(701)}

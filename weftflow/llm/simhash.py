@@ -3,14 +3,17 @@
 A fingerprint has 64 bits, of which bit b is set if more than half of the text's shingle hashes have it.
 Fingerprints that differ in at most ``BITS`` = 3 bits are linked; components of links are the classes.
 
-Fingerprints are split into ``BLOCKS`` = 5 blocks. Three differing bits touch at most three, so close pairs
+Fingerprints are split into 5 blocks. Three differing bits touch at most three, so close pairs
 share two blocks: distinct fingerprints meet under each of the ten pairs of blocks, 25 or 26 bits that must
 agree, and are then compared. Equal fingerprints are one node, however many documents have them.
 
-A block key with more than ``LIMIT`` distinct fingerprints isn't compared in one task: its fingerprints go
-through a second, finer split of 16 blocks of which 13 must agree. Under such a key at most 2 ** 12 distinct
-fingerprints exist at all, so every group is bounded, whatever the data, and no link is lost. Groups give
-a spanning forest of their links, never all pairs.
+A block key with more than ``LIMIT`` distinct fingerprints isn't compared in one task: its fingerprints go on
+to the next finer split, of 8 blocks of which 5 must agree, and from there, under keys that are still crowded,
+to 16 blocks of which 13 must agree. Under such a key at most 2 ** 12 distinct fingerprints exist at all, so
+every group is bounded, whatever the data, and no link is lost. Groups give a spanning forest of their
+links, never all pairs.
+
+Long texts are hashed in pieces of ``CHUNK`` bytes whose bit counts are added, so memory doesn't grow with them.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows are
 repeated in the result; null document ids take part, and a class of nothing but null ids has a null
@@ -28,68 +31,100 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from ..operators.routing import spread
+from .common import Tables, chunks, joined, mark_of, slices, without
 from .components import components
 from .pieces import release
 
 SHINGLE = 3
 BITS = 3
-BLOCKS = 5
-FINE_BLOCKS = 16
+#: Splits by fineness: how many blocks, and how many of them must agree.
+LEVELS = ((5, 2), (8, 5), (16, 13))
 LIMIT = 4096
 SEED = 42
+CHUNK = 1 << 20
 #: The 64-bit sum of eight counters of a byte each, by the byte whose bits are counted (high bit first).
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64).ravel()
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[bytes]:
-    """Big-endian XXH64 of each shingle of the words of ``text``, lower-cased in A-Z."""
-    joined = b" ".join(text.lower().split())
-    if not joined:
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> list[bytes]:
+    """Big-endian XXH64 of each shingle of the words, of all of them where they are fewer than ``size``."""
+    if not words:
         return []
-    gaps = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == 32)
-    if len(gaps) + 1 <= size:
-        return [xxhash.xxh64_digest(joined, SEED)]
+    joined_words = b" ".join(words)
+    if len(words) <= size:
+        return [xxhash.xxh64_digest(joined_words, SEED)]
+    gaps = np.flatnonzero(np.frombuffer(joined_words, dtype=np.uint8) == 32)
     starts = [0, *(gaps[: len(gaps) + 1 - size] + 1).tolist()]
-    ends = [*gaps[size - 1 :].tolist(), len(joined)]
+    ends = [*gaps[size - 1 :].tolist(), len(joined_words)]
     digest = xxhash.xxh64_digest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends)]
+    return [digest(joined_words[a:b], SEED) for a, b in zip(starts, ends)]
+
+
+def parts(text: bytes, size: int = SHINGLE) -> Iterator[list[bytes]]:
+    """The shingle hashes of a text, in pieces of bounded size; each but the first begins with the words that
+    its shingles share with the one before."""
+    carried: list[bytes] = []
+    before = 0
+    for piece in chunks(text, CHUNK):
+        words = carried + piece.lower().split()
+        if len(words) >= size:
+            yield shingle_hashes(words, size)
+            before += 1
+            carried = words[len(words) - size + 1 :] if size > 1 else []
+        else:
+            carried = words
+    if not before:
+        yield shingle_hashes(carried, size)
 
 
 def simhashes(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """The fingerprints of texts, as unsigned 64-bit integers."""
-    hashes = [shingle_hashes(text, size) for text in texts]
-    sizes = np.fromiter(map(len, hashes), dtype=np.int64, count=len(hashes))
-    out = np.zeros(len(texts), dtype=np.uint64)
-    filled = np.flatnonzero(sizes)
-    if not len(filled):
-        return out
-    data = np.frombuffer(b"".join([h for one in hashes for h in one]), dtype=np.uint8).reshape(-1, 8)
-    ends = np.cumsum(sizes[filled])
-    starts = ends - sizes[filled]
-    # sums of at most 255 rows, which fit in a counter of a byte, then sums of those
-    cuts = np.unique(np.concatenate([starts, np.arange(0, len(data), 255)]))
-    parts = np.add.reduceat(_LANES[data], cuts, axis=0).view(np.uint8).reshape(len(cuts), 64).astype(np.int64)
-    counts = np.add.reduceat(parts, np.searchsorted(cuts, starts), axis=0)
-    bits = (2 * counts > sizes[filled][:, None]).astype(np.uint8)
-    out[filled] = np.packbits(bits, axis=1).copy().view(">u8").ravel()
-    return out
+    counts = np.zeros((len(texts), 64), dtype=np.int64)
+    total = np.zeros(len(texts), dtype=np.int64)
+    held: list[tuple[int, list[bytes]]] = []
+
+    def add() -> None:
+        sizes = np.fromiter((len(h) for _, h in held), dtype=np.int64, count=len(held))
+        data = np.frombuffer(b"".join([h for _, one in held for h in one]), dtype=np.uint8).reshape(-1, 8)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        # sums of at most 255 rows, which fit in a counter of a byte, then sums of those
+        cuts = np.unique(np.concatenate([starts, np.arange(0, len(data), 255)]))
+        sums = np.add.reduceat(_LANES[data], cuts, axis=0).view(np.uint8).reshape(len(cuts), 64).astype(np.int64)
+        rows = [k for k, _ in held]
+        np.add.at(counts, rows, np.add.reduceat(sums, np.searchsorted(cuts, starts), axis=0))
+        np.add.at(total, rows, sizes)
+        held.clear()
+
+    shingles = 0
+    for k, text in enumerate(texts):
+        for hashes in parts(text, size):
+            if hashes:
+                held.append((k, hashes))
+                shingles += len(hashes)
+            if shingles >= CHUNK // 4:
+                add()
+                shingles = 0
+    if held:
+        add()
+    return np.packbits((2 * counts > total[:, None]).astype(np.uint8), axis=1).copy().view(">u8").ravel().astype(np.uint64)
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of each whole text as a signed long."""
+    """``doc_id, mark, fp``: the fingerprint of each whole text as a signed long, and a mark of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                found = simhashes(part.column(1).to_pylist(), size).view(np.int64)
-                yield pa.record_batch([part.column(0), pa.array(found)], names=["doc_id", "fp"])
+                found = simhashes(part.column(2).to_pylist(), size).view(np.int64)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(found)], names=["doc_id", "mark", "fp"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    read = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return read.mapInArrow(run, f"doc_id {kind}, fp long")
+    read = df.select(F.col(id_col).alias("doc_id"), mark_of(F.col(text_col)).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    return spread(read).mapInArrow(run, f"doc_id {kind}, mark long, fp long")
 
 
 def masks(blocks: int, kept: int) -> list[int]:
@@ -154,40 +189,54 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(keys, fps)
 
 
-def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
+def links(fps: DataFrame, limit: int = LIMIT, tables: Tables | None = None) -> DataFrame:
     """Edges ``a, b`` that tie together all linked fingerprints of ``fps(fp)``, which are distinct."""
-    keys = keyed(fps, masks(BLOCKS, BLOCKS - BITS))
-    hot, _ = written(keys.groupBy("key").count().where(F.col("count") > limit).select("key"), "hot-blocks")
-    rows, fine = keys, None
-    if not hot.isEmpty():
-        rows = keys.join(hot, "key", "left_anti")
-        crowded = keys.join(hot, "key", "left_semi").select("fp").distinct()
-        fine = keyed(crowded, masks(FINE_BLOCKS, FINE_BLOCKS - BITS))
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
-    if fine is not None:
-        found = found.unionByName(fine.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long"))
-    return found
+    tables = tables or Tables(fps.sparkSession)
+    found, rest = [], fps
+    for blocks, agree in LEVELS:
+        keys = rows = keyed(rest, masks(blocks, agree))
+        crowded = None
+        if (blocks, agree) != LEVELS[-1]:
+            hot = tables.write(keys.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > limit), "hot-blocks")
+            if not hot.isEmpty():
+                rows = joined(keys, hot, ["key"], "left_anti")
+                crowded = tables.write(joined(keys, hot, ["key"], "left_semi").select("fp").distinct(), "crowded")
+        found.append(rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long"))
+        if crowded is None:
+            break
+        rest = crowded
+    edges = found[0]
+    for more in found[1:]:
+        edges = edges.unionByName(more)
+    return edges
+
+
+def classed(df: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
+    """``doc_id, mark, fp, component_id`` for each row of ``df``."""
+    own = Tables(df.sparkSession)
+    docs = tables.write(fingerprints(df, id_col, text_col), "fingerprints", read_by_result=True)
+    least = own.write(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "distinct-fingerprints")
+    tied = components(links(least.select("fp"), limit, own))
+    rooted = own.write(least.join(tied, least.fp == tied.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "rooted")
+    classes = own.write(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("texts")), "classes")
+    of = tables.write(joined(rooted, classes, ["root"], rows="texts").select("fp", "rows", "component_id"), "classes-of", read_by_result=True)
+    own.done()
+    return joined(docs, of, ["fp"])
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """One row per row of ``df``: ``doc_id, fingerprint, component_id``."""
-    docs, _ = written(fingerprints(df, id_col, text_col), "fingerprints")
-    least, _ = written(docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    tied = components(links(least.select("fp"), limit))
-    rooted = least.join(tied, least.fp == tied.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted, _ = written(rooted, "rooted")
-    classes, _ = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "classes")
-    of, _ = written(rooted.join(classes, "root").select("fp", "component_id"), "classes-of")
-    return docs.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = classed(df, Tables(df.sparkSession), id_col, text_col, limit)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` whose document id is the smallest of its class, with all columns.
+    """One row of ``df`` for each class, with all columns: that of the smallest document id.
 
-    Rows with a null id can't be told apart: they stay where their class has no other id, and go where it has.
+    Where several texts of a class have that id, each stays, but of rows with equal texts too one stays. Of
+    rows with a null id one for each text stays where their class has no other id; where it has, they go.
     """
-    first = near_duplicates(df, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first, _ = written(first.select(F.col("doc_id").alias("first_id")).distinct(), "first-of-class")
-    rows = df.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row"))
-    # the list of those that stay grows with the input, so it is never broadcast
-    return rows.join(first.hint("merge"), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("row.*")
+    tables = Tables(df.sparkSession)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    rows = classed(df, tables, id_col, text_col).groupBy("doc_id", "mark").agg(F.bool_or(first).alias("stays"), F.count("*").alias("rows"))
+    return without(df, rows.where("not stays or rows > 1"), tables, id_col, text_col)
