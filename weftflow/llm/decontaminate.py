@@ -1,135 +1,262 @@
 """Benchmark decontamination by spaced-seed hashing (operator 2), in DataFrame operations only.
 
-Texts become words: maximal runs of letters and digits, lower case. A seed is a mask of word offsets; a
-position is hashed from the words that the mask keeps, so a substituted word at an ignored offset doesn't
-change it. The two masks together are lossless: whatever two of ``WINDOW`` = 13 words are substituted, one of
-them still hits at some offset. Hashes of the test items are joined with those of the documents, and around
-every hit the aligned words are compared: a document holds an item if in some window of 13 aligned words
-(the whole item, if shorter) at least 80 % are equal.
-
-Items of 3 to 12 words are found by an added mask of three adjacent words, which is lossless for the
-substitutions allowed there, at most one in three words beyond three. Shorter items can't be told from
-ordinary prose and are never reported.
-
-The items' hashes are broadcast only if their number is at most ``BROADCAST_ROWS`` (it is counted);
-otherwise documents and items meet in a shuffled join of hashes alone, whose hits are then looked up in the
-documents. Both ways give the same rows.
-
-Edge cases: null or empty texts hold nothing and match nothing; repeated rows and repeated items count once
-in the result; null ids are ids like others; other columns are left out, so their names can't clash; an
-empty table on either side gives an empty result.
+Texts become words: maximal runs of letters and digits, lower case. A document holds an item if in some window
+of 13 aligned words (the whole item, if it has fewer) at least 80 % are equal: 13 and 10 to 12 words may have
+two substitutions, 5 to 9 words one, and items of 1 to 4 words must stand there word for word.
+
+A seed is a mask of word offsets; a position is hashed from the words that the mask keeps, so a substituted
+word at an ignored offset doesn't change it. For windows of 13 words the two masks together are lossless:
+whatever two words are substituted, one of the masks still hits at some offset. Shorter windows are cut into
+one part more than they may have substitutions, each of them a mask.
+
+Around every hit the windows are verified. Windows of equal words, in however many documents they stand, are
+one passage, and a passage is compared once. It agrees with a window of an item if they agree in all words
+but the allowed number, so if for some choice of left-out offsets the hashes of all other words are equal:
+passages meet those of the benchmark by such keys. A key stands for all items that share it, so a template
+that many items and many documents have makes neither pairs of them nor copies of their words.
+
+The result has one row per document: how many items it holds, the smallest of them and how well the best
+window agrees. Items are counted over sets of keys, each distinct set once.
+
+Seeds and keys are fixed-width hashes. They are broadcast only if they number at most ``BROADCAST_ROWS`` (they
+are counted); otherwise positions pass a Bloom filter of the seeds and then an exchange, and passages an
+exchange of keys. Both ways give the same rows.
+
+Edge cases: null or empty texts hold nothing and match nothing; repeated rows and repeated items count once,
+rows that repeat an id with another text are documents of their own; null ids are ids like others; texts of
+any length are read whole; other columns are left out, so their names can't clash; an empty table on either
+side gives an empty result.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Tables, bloom, joined, mark_of, without
 
 WINDOW = 13
-#: Offsets that a mask keeps (found by search: lossless for 2 substitutions in 13 words).
+#: Offsets that a mask keeps in a window of 13 words (found by search: lossless for 2 substitutions).
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
-SHORT_MASK = (0, 1, 2)
-SHORTEST = 3
-#: Hashes of items that may be broadcast: at about 400 bytes each, 80 MB.
-BROADCAST_ROWS = 200_000
-_REACH = WINDOW - 1
-_AROUND = 2 * _REACH + max(mask[-1] for mask in MASKS) + 1
+#: Hashes that may be broadcast: at most 64 bytes each, 64 MB.
+BROADCAST_ROWS = 1_000_000
+#: Words that a window may reach over the ends of a document, where they count as unequal.
+_OVER = 2
+#: Left-out offsets are coded in four bits each; this one leaves out nothing.
+_NO_OFFSET = 15
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def allowed(length: Column) -> Column:
-    """Substitutions allowed in the window of an item of so many words."""
-    fifth = F.floor(F.least(length, F.lit(WINDOW)) * 0.2).cast("int")
-    return F.when(length >= WINDOW, fifth).otherwise(F.least(fifth, ((length - 3) / 3).cast("int")))
+def allowed(size: int) -> int:
+    """Substitutions allowed in a window of so many words: at most 20 %."""
+    return size // 5
+
+
+def masks(size: int) -> list[tuple[int, ...]]:
+    """The masks of a window of so many words."""
+    if size == WINDOW:
+        return list(MASKS)
+    parts = allowed(size) + 1
+    edges = [size * k // parts for k in range(parts + 1)]
+    return [tuple(range(a, b)) for a, b in zip(edges, edges[1:])]
+
 
+def slides(size: int, mask: tuple[int, ...]) -> int:
+    """How far a mask may stand from the start of its window; those of short windows have their place."""
+    return WINDOW - 1 - mask[-1] if size == WINDOW else 0
 
-def seeds(df: DataFrame, masks: tuple[tuple[int, ...], ...], *carry: str) -> DataFrame:
-    """A row for each position and mask: ``at``, ``mask``, ``hash``, ``words`` and the carried columns. ``df`` has ``words``."""
-    least = min(mask[-1] for mask in masks) + 1
-    hashed = df.select(*carry, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+
+def omissions(size: int) -> list[int]:
+    """Codes of all choices of offsets to leave out, up to as many as are allowed."""
+    found = []
+    for most in range(allowed(size) + 1):
+        for left_out in combinations(range(size), most):
+            a, b = [*left_out, _NO_OFFSET, _NO_OFFSET][:2]
+            found.append(a * 16 + b)
+    return found
+
+
+def seeds(df: DataFrame, sizes: list[int], *carry: str) -> DataFrame:
+    """A row for each position and mask: ``at``, ``seed`` (its number), ``hash``, ``h`` and the carried columns.
+
+    ``df`` has ``h``, the hashes of a text's words.
+    """
+    family = [mask for size in sizes for mask in masks(size)]
+    least = min(mask[-1] for mask in family) + 1
     places = F.when(F.size("h") >= least, F.sequence(F.lit(0), F.size("h") - least))
-    placed = hashed.select(*carry, "words", "h", F.explode(places).alias("at"))
+    placed = df.select(*carry, "h", F.explode(places).alias("at"))
     each = []
-    for k, mask in enumerate(masks):
+    for k, mask in enumerate(family):
         kept = F.xxhash64(F.lit(k), *(F.get("h", F.col("at") + o) for o in mask))
         each.append(F.when(F.col("at") + mask[-1] < F.size("h"), kept))
-    return placed.select(*carry, "words", "at", F.posexplode(F.array(*each)).alias("mask", "hash")).where("hash is not null")
+    return placed.select(*carry, "h", "at", F.posexplode(F.array(*each)).alias("seed", "hash")).where("hash is not null")
 
 
-def around(place: str) -> Column:
-    """The words from ``_REACH`` before a position on, null before the first word.
+def _pick(index: Column, values: list[int]) -> Column:
+    return F.get(F.array(*map(F.lit, values)), index)
 
-    Made of operations that compile into the join's stage, so that only hits ever copy words.
-    """
-    at = F.col(place)
-    before = F.array_repeat(F.lit(None).cast("string"), F.greatest(F.lit(_REACH) - at, F.lit(0)))
-    return F.concat(before, F.slice("words", F.greatest(at - _REACH, F.lit(0)) + 1, F.lit(_AROUND) - F.greatest(F.lit(_REACH) - at, F.lit(0))))
 
+def windows(hits: DataFrame, sizes: list[int]) -> DataFrame:
+    """The distinct windows around hits: ``doc_id, mark, start, size`` and the hashes ``w0`` to ``w12`` of their words."""
+    family = [(size, mask) for size in sizes for mask in masks(size)]
+    size = _pick(F.col("seed"), [n for n, _ in family])
+    slide = _pick(F.col("seed"), [slides(n, mask) for n, mask in family])
+    first = F.greatest(F.col("at") - slide, F.lit(0))
+    near = hits.select("doc_id", "mark", "at", size.alias("size"), first.alias("first"), F.slice("h", first + 1, F.col("at") - first + size).alias("near"))
+    starts = F.explode(F.sequence(F.lit(0), F.least(F.col("at") - F.col("first"), F.size("near") - F.col("size"))))
+    placed = near.where("size(near) >= size").select("doc_id", "mark", "first", "size", "near", starts.alias("k"))
+    held = [F.when(F.lit(j) < F.col("size"), F.xxhash64(F.lit(j), F.get("near", F.col("k") + j))).otherwise(0).alias(f"w{j}") for j in range(WINDOW)]
+    return placed.select("doc_id", "mark", (F.col("first") + F.col("k")).alias("start"), "size", *held).distinct()
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Pairs ``doc_id, item_id`` with ``matched`` equal words in the best ``window``, one row per pair."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    read = docs.select("doc_id", words(F.col("text")).alias("words"))
-    items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("words")).where(F.size("words") >= SHORTEST)
-    items = items.withColumn("length", F.size("words"))
-    some_short = bool(items.where(F.col("length") < WINDOW).limit(1).count())
-    masks = (*MASKS, SHORT_MASK) if some_short else MASKS
-    keys = seeds(items, masks, "item_id", "length")
-    if some_short:  # the short mask serves the short items alone
-        keys = keys.where((F.col("length") < WINDOW) == (F.col("mask") == len(MASKS)))
-    keys = keys.select("hash", "item_id", "length", F.col("at").alias("item_at"), around("at").alias("item_words")).distinct()
-    keys, _ = written(keys, "benchmark-seeds")
-
-    found = seeds(read, masks, "doc_id")
-    if keys.count() <= broadcast_rows:
-        hits = found.join(F.broadcast(keys), "hash").select("doc_id", "item_id", "length", "item_at", "item_words", around("at").alias("doc_words"))
+
+def keyed(passages: DataFrame, sizes: list[int], *carry: str) -> DataFrame:
+    """A row for each choice of left-out offsets: ``size``, ``left_out``, ``key`` and the carried columns."""
+    codes = F.lit(None).cast("array<int>")
+    for size in sizes:
+        codes = F.when(F.col("size") == size, F.array(*map(F.lit, omissions(size)))).otherwise(codes)
+    whole = F.col("w0")
+    for j in range(1, WINDOW):
+        whole = whole.bitwiseXOR(F.col(f"w{j}"))
+    each = passages.select(*carry, "size", F.array(*(f"w{j}" for j in range(WINDOW))).alias("w"), whole.alias("whole"), F.explode(codes).alias("code"))
+    a, b = F.shiftright("code", 4), F.col("code").bitwiseAND(15)
+    rest = F.col("whole")
+    for offset in (a, b):
+        rest = rest.bitwiseXOR(F.coalesce(F.get("w", offset), F.lit(0)))
+    left_out = (a < _NO_OFFSET).cast("int") + (b < _NO_OFFSET).cast("int")
+    return each.select(*carry, "size", left_out.alias("left_out"), F.xxhash64("size", "code", rest).alias("key"))
+
+
+def _two(*of: Column | str) -> list[Column]:
+    """Two independent hashes."""
+    return [F.xxhash64(F.lit(17), *of), F.xxhash64(*of, F.lit(71))]
+
+
+def set_of(*of: Column | str) -> list[Column]:
+    """Aggregates that tell sets of distinct rows apart: two hashes and the number of elements."""
+    one, two = _two(*of)
+    return [F.bit_xor(one).alias("one"), F.bit_xor(two).alias("two"), F.count("*").alias("n")]
+
+
+class Benchmark:
+    """The items' seeds, keys and sets of items, as written tables."""
+
+    def __init__(self, benchmark: DataFrame, tables: Tables, item_col: str = "item_id", item_text: str = "text"):
+        items = benchmark.select(F.col(item_col).alias("item_id"), F.transform(words(F.col(item_text)), lambda w: F.xxhash64(w)).alias("h")).where("size(h) > 0")
+        items = tables.write(items.distinct(), "benchmark-words")
+        self.sizes = sorted(r.size for r in items.select(F.least(F.size("h"), F.lit(WINDOW)).alias("size")).distinct().collect())
+        if not self.sizes:
+            return
+        own = F.lit(False)
+        for k, size in enumerate(size for size in self.sizes for _ in masks(size)):
+            # an item has only the seeds of its own size, a short one only those at its start
+            own = own | ((F.col("seed") == k) & (F.col("length") == size) & (F.lit(size == WINDOW) | (F.col("at") == 0)))
+        length = F.least(F.size("h"), F.lit(WINDOW))
+        found = seeds(items.withColumn("length", length), self.sizes, "length").where(own)
+        self.seeds = tables.write(found.select("hash").distinct(), "benchmark-seeds", read_by_result=True)
+        placed = items.select("item_id", "h", length.alias("size"), F.explode(F.sequence(F.lit(0), F.size("h") - length)).alias("at"))
+        held = [F.when(F.lit(j) < F.col("size"), F.xxhash64(F.lit(j), F.get("h", F.col("at") + j))).otherwise(0).alias(f"w{j}") for j in range(WINDOW)]
+        keys = keyed(placed.select("item_id", "size", *held), self.sizes, "item_id").select("key", "item_id").distinct()
+        keys = tables.write(keys, "benchmark-keys")
+        # keys of the same items are one group
+        grouped = keys.groupBy("key").agg(*set_of("item_id"), F.min("item_id").alias("item_id"))
+        self.keys = tables.write(grouped.select("key", F.xxhash64("one", "two", "n").alias("items"), "item_id"), "benchmark-key-groups", read_by_result=True)
+        firsts = self.keys.groupBy("items").agg(F.min("key").alias("key"))
+        #: Which items (``item_id``) each group (``items``) stands for.
+        self.members = tables.write(firsts.join(keys, "key").select("items", "item_id"), "benchmark-groups", read_by_result=True)
+
+
+def _small(df: DataFrame, broadcast_rows: int) -> bool:
+    return df.count() <= broadcast_rows
+
+
+def held(documents: DataFrame, benchmark: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """:func:`contaminated` with the ``mark`` of the text; None where there is no item."""
+    b = Benchmark(benchmark, tables, item_col, item_text)
+    if not b.sizes:
+        return None
+    over = F.array_repeat(F.lit(0).cast("long"), _OVER)
+    text = F.col(text_col)
+    read = documents.select(F.col(id_col).alias("doc_id"), mark_of(text).alias("mark"), F.concat(over, F.transform(words(text), lambda w: F.xxhash64(w)), over).alias("h"))
+    found = seeds(read, b.sizes, "doc_id", "mark")
+    if _small(b.seeds, broadcast_rows):
+        hits = found.join(F.broadcast(b.seeds), "hash", "left_semi")
     else:
-        places = found.select("hash", "doc_id", "at").join(keys.select("hash").distinct(), "hash").distinct()
-        places = places.withColumnRenamed("doc_id", "id")
-        texts = docs.join(places, F.col("doc_id").eqNullSafe(F.col("id")))
-        texts = texts.select("doc_id", "hash", "at", words(F.col("text")).alias("words"))
-        hits = texts.select("doc_id", "hash", around("at").alias("doc_words")).join(keys, "hash")
-    return verified(hits)
-
-
-def verified(hits: DataFrame) -> DataFrame:
-    """Compare the words around each hit; the best window of each pair, where it is good enough."""
-    equal = F.zip_with("doc_words", "item_words", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
-    window = F.least(F.col("length"), F.lit(WINDOW))
-    scored = hits.select("doc_id", "item_id", "length", "item_at", window.alias("window"), equal.alias("equal"))
-    sums = F.transform(
-        F.sequence(F.lit(1), F.lit(_AROUND) - F.col("window") + 1),
-        lambda s: F.aggregate(F.slice("equal", s, F.col("window")), F.lit(0), lambda x, y: x + y),
-    )
-    best = scored.select("doc_id", "item_id", "length", "window", F.array_max(sums).alias("matched"))
-    good = F.when(F.col("matched") >= F.col("window") - allowed(F.col("length")), F.struct("matched", "window"))
-    # the test stands above the aggregation, lest it move into the join and be made for every position
-    pairs = best.groupBy("doc_id", "item_id").agg(F.max(good).alias("best")).where("best is not null")
-    return pairs.select("doc_id", "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("best.window").cast("long").alias("window"))
+        hits = found.where(bloom(b.seeds, "hash", b.seeds.count())(F.col("hash")))
+        near = F.greatest(F.col("at") - WINDOW, F.lit(0))
+        # words near the hit, not the text, go through the exchange
+        hits = hits.select("doc_id", "mark", "seed", "hash", (F.col("at") - near).alias("at"), near.alias("before"), F.slice("h", near + 1, 3 * WINDOW).alias("h")).join(b.seeds, "hash", "left_semi")
+    placed = windows(hits, b.sizes)
+    content = _two("size", *(f"w{j}" for j in range(WINDOW)))
+    placed = tables.write(placed.select("doc_id", "mark", content[0].alias("p"), content[1].alias("q"), "size", *(f"w{j}" for j in range(WINDOW))), "passages-in-documents", read_by_result=True)
+    passages = placed.groupBy("p", "q").agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("size", *(f"w{j}" for j in range(WINDOW)))))
+    keys = F.broadcast(b.keys) if _small(b.keys, broadcast_rows) else b.keys
+    agree = keyed(passages, b.sizes, "p", "q", "rows").join(keys, "key")
+    best = F.max(F.struct((F.col("size") - F.col("left_out")).alias("matched"), "size")).alias("best")
+    # at most 92 keys a passage, so at most as many groups of items
+    verified = agree.groupBy("p", "q").agg(F.max("rows").alias("rows"), best, F.min("item_id").alias("item_id"), F.array_sort(F.collect_set("items")).alias("groups"))
+    one, two = _two("groups")
+    verified = tables.write(verified.withColumns({"g1": one, "g2": two}), "passages", read_by_result=True)
+    # per document: its best window, its smallest item, and which sets of groups it has
+    in_docs = joined(placed.select("doc_id", "mark", "p", "q"), verified.drop("groups"), ["p", "q"])
+    sets = in_docs.groupBy("doc_id", "mark", "g1", "g2").agg(F.max("best").alias("best"), F.min("item_id").alias("item_id"))
+    docs = sets.groupBy("doc_id", "mark").agg(F.max("best").alias("best"), F.min("item_id").alias("item_id"), *set_of("g1", "g2"))
+    docs = tables.write(docs.withColumn("of", F.xxhash64("one", "two", "n")).drop("one", "two", "n"), "documents-with-items", read_by_result=True)
+    counts = tables.write(_counts(docs, placed, verified, b.members), "item-counts", read_by_result=True)
+    out = joined(docs, counts, ["of"])
+    return out.select("doc_id", "mark", "item_id", F.col("items").alias("n_items"), F.col("best.matched").cast("long").alias("matched"), F.col("best.size").cast("long").alias("window"))
+
+
+def _counts(docs: DataFrame, placed: DataFrame, verified: DataFrame, members: DataFrame) -> DataFrame:
+    """``of``, how many ``rows`` of ``docs`` have it, and how many ``items`` they hold each: counted in one of them."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark"))
+    firsts = docs.groupBy("of").agg(least.alias("first"), F.count("*").alias("rows")).select("of", "rows", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("mark"))
+    windows_of = placed.join(firsts, (placed["mark"] == firsts["mark"]) & placed["doc_id"].eqNullSafe(firsts["first_id"])).select("of", "rows", "p", "q").distinct()
+    groups = windows_of.join(verified.select("p", "q", "groups"), ["p", "q"]).select("of", "rows", F.explode("groups").alias("items")).distinct()
+    return groups.join(members, "items").select("of", "rows", "item_id").distinct().groupBy("of", "rows").agg(F.count("*").alias("items"))
+
+
+def contaminated(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row for each document that holds an item: ``doc_id``, the smallest ``item_id``, ``n_items``, and the
+    ``matched`` words of the best ``window`` (of those, the longest)."""
+    out = held(documents, benchmark, Tables(documents.sparkSession), id_col, text_col, item_col, item_text, broadcast_rows)
+    if out is None:
+        item = F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id")
+        out = documents.select(F.col(id_col).alias("doc_id"), F.lit(0).alias("mark"), item, *(F.lit(0).cast("long").alias(c) for c in ("n_items", "matched", "window"))).limit(0)
+    return out.drop("mark")
+
+
+def members(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``items, item_id``: the groups of items that share a passage, as :func:`contaminated` counts them."""
+    b = Benchmark(benchmark, Tables(benchmark.sparkSession), item_col, item_text)
+    return b.members if b.sizes else benchmark.select(F.lit(0).cast("long").alias("items"), F.col(item_col).alias("item_id")).limit(0)
 
 
 def keep(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``documents`` that hold no item, with all their columns."""
-    bad = contaminated(documents, benchmark, id_col, text_col).select(F.col("doc_id").alias("bad_id")).distinct()
-    bad, _ = written(bad, "contaminated")
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.struct("*").alias("row"))
-    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
+    tables, own = Tables(documents.sparkSession), Tables(documents.sparkSession)
+    bad = held(documents, benchmark, own, id_col, text_col)
+    if bad is None:
+        return documents
+    listed = tables.write(bad.select("doc_id", "mark", F.lit(False).alias("stays"), F.lit(1).alias("rows")), "contaminated")
+    rows = without(documents, listed, tables, id_col, text_col)
+    own.done()
+    tables.done()
+    return rows
 
 
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-n AS (SELECT item_id, len(w) AS length, least(len(w), 13) AS win FROM b WHERE len(w) >= 3),
+n AS (SELECT item_id, len(w) AS length, least(len(w), 13) AS win FROM b WHERE len(w) > 0),
 bw AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS q FROM b SEMI JOIN n USING (item_id)),
 dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
 m AS (SELECT DISTINCT doc_id, item_id, p - q AS diagonal, q FROM dw JOIN bw USING (word)),
-c AS (SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY q RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS k FROM m)
-SELECT doc_id, item_id, max(k)::BIGINT AS matched, any_value(win)::BIGINT AS "window"
-FROM c JOIN n USING (item_id) GROUP BY doc_id, item_id, length
-HAVING max(k) >= any_value(win) - CASE WHEN length >= 13 THEN 2 ELSE least(floor(length * 0.2), (length - 3) // 3) END
+c AS (SELECT doc_id, item_id, count(*) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY q RANGE BETWEEN 12 PRECEDING AND CURRENT ROW) AS k FROM m),
+f AS (SELECT doc_id, item_id, max(k) AS matched, any_value(win) AS win FROM c JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING max(k) >= any_value(win) - any_value(win) // 5)
+SELECT doc_id, min(item_id) AS item_id, count(*) AS n_items, max(matched)::BIGINT AS matched, arg_max(win, matched * 100 + win)::BIGINT AS "window" FROM f GROUP BY doc_id
 """
