@@ -6,15 +6,18 @@ ledger doesn't have under the current rule version, each once however many docum
 it finds, and joins the findings of the ledger back to all documents. A new rule version scans all again;
 new documents of known text cost a hash.
 
+Only hashes are exchanged. The rows to scan are picked by a list of those that need no scan, or of those that
+do, whichever is shorter: rows that a Bloom filter of the list tells apart stay where they are.
+
 Base kinds are leftmost non-overlapping matches, a failed match being dropped without another try:
 ``assign`` (a credential's name, then a value of 6 or more characters), ``access`` (``AKIA`` and capitals or
 digits, 20 or more in all) and ``hex`` (24 or more lower-case hex digits). The rules add ``private_key``,
-``jwt`` and ``vendor`` tokens; these never change base ones. Positions are code points, ends exclusive.
+``jwt`` (after a character that can't be in one) and ``vendor`` tokens; these never change base ones. Positions
+are code points, ends exclusive. Every rule takes time in proportion to the text.
 
-Edge cases: a null text is the empty blob; repeated rows share a blob and are repeated in the result (rows
-that repeat an id and its text are scanned as often, and count once in what is read from the ledger); null
-document ids are ids like others; other columns are left out, so their names can't clash; an empty table
-scans nothing and gives an empty result.
+Edge cases: a null text is the empty blob; repeated rows share a blob, are scanned once and repeated in the
+result; null document ids are ids like others; other columns are left out, so their names can't clash; an
+empty table scans nothing and gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from ..operators.routing import spread
+from .common import Tables, joined, mark_of, only, slices, without
 
 BASE = ("assign", "access", "hex")
 ADDED = ("private_key", "jwt", "vendor")
@@ -38,8 +42,8 @@ RULES = (
     ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
-    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 0),
-    ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
+    ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]+-----END [A-Z ]*PRIVATE KEY-----", 0, 0),
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30),
     ("vendor", r"(?:ghp_|gho_|glpat-|xoxb-|xoxp-|sk_live_|AIza)[A-Za-z0-9_-]+", 0, 24),
 )
 RULE_VERSION = hashlib.sha256(repr(RULES).encode()).hexdigest()[:16]
@@ -87,16 +91,34 @@ def scan(df: DataFrame, ledger: str, id_col: str = "doc_id", text_col: str = "te
     before leaves it as it was, and blobs written twice by rival scans count once.
     """
     spark = df.sparkSession
-    texts = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
-    paths, _ = written(texts.select("doc_id", "blob"), "blob-paths")
-    seen = _ledger(spark, ledger).where(F.col("rule_version") == RULE_VERSION).select("blob")
-    # one document of each unseen blob lends its text; the key spreads blobs that many documents share
-    one = paths.groupBy("blob").agg(F.min(F.struct("doc_id")).alias("of")).select("blob", F.col("of.doc_id").alias("of_id"))
-    unseen, _ = written(one.join(seen, "blob", "left_anti").withColumnRenamed("blob", "of_blob"), "unseen-blobs")
-    fresh = texts.join(unseen, (F.col("blob") == F.col("of_blob")) & F.col("doc_id").eqNullSafe(F.col("of_id")), "left_semi")
-    scanned(fresh.select("blob", "text")).write.mode("append").parquet(ledger)
+    tables, own = Tables(spark), Tables(spark)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    paths = df.select(F.col(id_col).alias("doc_id"), mark_of(text).alias("mark"), F.sha2(text.cast("binary"), 256).alias("blob"))
+    paths = tables.write(paths, "blob-paths", read_by_result=True)
+    seen = _ledger(spark, ledger).where(F.col("rule_version") == RULE_VERSION).select("blob").distinct().withColumn("seen", F.lit(True))
+    one = paths.groupBy("blob").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("of"), F.count("*").alias("rows"), F.first("mark").alias("mark"))
+    blobs = own.write(one.join(seen, "blob", "left").select("blob", F.col("of.doc_id").alias("of_id"), "mark", "rows", F.coalesce("seen", F.lit(False)).alias("seen")), "blobs")
+    fresh = _unseen(spread(df.select(id_col, text_col)), paths, blobs, own, id_col, text_col)
+    if fresh is not None:
+        fresh = fresh.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        scanned(fresh.select(F.sha2(F.col("text").cast("binary"), 256).alias("blob"), "text")).write.mode("append").parquet(ledger)
     found = _ledger(spark, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0))
-    found, _ = written(found.groupBy("blob").agg(F.first("spans").alias("spans")), "findings")
+    found = found.groupBy("blob").agg(F.first("spans").alias("spans")).join(blobs.select("blob", "rows"), "blob")
+    found = tables.write(found, "findings", read_by_result=True)
+    own.done()
     none = F.array().cast("array<struct<kind: string, start: int, end: int>>")
-    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
+    return joined(paths, found, ["blob"], "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
+
+
+def _unseen(df: DataFrame, paths: DataFrame, blobs: DataFrame, own: Tables, id_col: str, text_col: str) -> DataFrame | None:
+    """One row of ``df`` for each blob that isn't seen, if there are any."""
+    counts = blobs.agg(F.sum("rows").alias("rows"), F.count_if(~F.col("seen")).alias("blobs")).first()
+    if not counts.blobs:
+        return None
+    if 2 * counts.blobs <= counts.rows:
+        return only(df, blobs.where("not seen").select(F.col("of_id").alias("doc_id"), "mark"), own, id_col, text_col)
+    known = own.write(blobs.where("seen or rows > 1").drop("mark"), "blobs-known")
+    copies = joined(paths, known, ["blob"])
+    stays = F.bool_or(~F.col("seen") & F.col("doc_id").eqNullSafe(F.col("of_id")))
+    listed = copies.groupBy("doc_id", "mark").agg(stays.alias("stays"), F.count("*").alias("rows"))
+    return without(df, listed.where("not stays or rows > 1"), own, id_col, text_col)
