@@ -15,7 +15,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftflow.llm import bpe_replay, simple8b, token_store
+from weftflow.llm import bpe_replay, pieces, simple8b, token_store
 from weftflow.llm.pieces import cut, packed
 from weftflow.llm.queries import QUERIES
 
@@ -32,9 +32,7 @@ def tiktoken_encoding():
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    own = Tokenizer.from_file(JSON)
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(JSON)
 
 
 def random_texts(n):
@@ -48,9 +46,31 @@ def test_pieces_give_the_library_ids(tiktoken_encoding, tokenizer):
         (bpe_replay._encoder(RANKS, public.PATTERN), tiktoken_encoding.encode_ordinary),
         (token_store._encoder(JSON), lambda t: tokenizer.encode(t, add_special_tokens=False).ids),
     ):
+        coded = coder if isinstance(coder, token_store.Encoder) else lambda some: packed(some, coder).to_pylist()
         for k in range(0, len(texts), 100):
             some = pa.array(["sliced off", *texts[k : k + 100]])[1:]
-            assert [np.frombuffer(x, "<u4").tolist() for x in packed(some, coder).to_pylist()] == [expected(t) for t in texts[k : k + 100]]
+            assert [np.frombuffer(x, "<u4").tolist() for x in coded(some)] == [expected(t) for t in texts[k : k + 100]]
+
+
+def test_added_tokens_are_the_librarys(tokenizer):
+    """The content of an added token in a text is that token, wherever it stands."""
+    end = "<|endoftext|>"
+    rng = random.Random(9)
+    texts = [end, end * 2, f"a{end}", f"{end}a", f"a {end} b", f"a  {end}  b", f"a \n{end}\n b", f"é{end}漢", "<|endoftext|", f"<{end}>", f"{end[:5]}{end}", "plain text"]
+    texts += ["".join(rng.choices([end, " ", "a", "\n", "'s", "é", "word", "<|", "1"], k=rng.randrange(12))) for _ in range(3000)]
+    got = token_store._encoder(JSON)(pa.array(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert np.frombuffer(got[0], "<u4").tolist() == [50256]
+
+
+def test_long_texts_in_parts(tokenizer, tiktoken_encoding, monkeypatch):
+    monkeypatch.setattr(pieces, "LONG", 64)
+    rng = random.Random(11)
+    for _ in range(60):
+        text = "".join(rng.choices([" ", "  ", "\n", "\xa0", "word", "é", "1234", "'s", "long" * 30, ". "], k=200))
+        some = pa.array([text])
+        assert np.frombuffer(token_store._encoder(JSON)(some)[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(packed(some, bpe_replay._encoder(RANKS, public.PATTERN))[0].as_py(), "<u4").tolist() == tiktoken_encoding.encode_ordinary(text)
 
 
 def test_cut_loses_nothing():
@@ -111,7 +131,8 @@ def odd_table(spark):
 
 def test_token_store_on_odd_rows(odd_table, tokenizer):
     manifest = token_store.write(odd_table, JSON, 2)
-    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    ranks = {r.text: r.h for r in odd_table.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, ranks[r[1] or ""]))
     start, expected = 0, []
     for doc_id, text in order:
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
@@ -122,6 +143,11 @@ def test_token_store_on_odd_rows(odd_table, tokenizer):
     assert sum(len(r.ids) for r in token_store.read(manifest).collect()) == start
 
 
+def test_ids_of_other_types_are_refused(spark):
+    with pytest.raises(TypeError):
+        token_store.write(spark.createDataFrame([("x", "y")], "doc_id string, text string"), JSON, 2)
+
+
 def test_bpe_on_odd_rows(odd_table, tiktoken_encoding):
     out = bpe_replay.decode(bpe_replay.encode(odd_table, RANKS, public.PATTERN), RANKS).collect()
     key = lambda r: (r[0] is not None, r[0] or 0, r[1])

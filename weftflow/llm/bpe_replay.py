@@ -6,8 +6,10 @@ order, lowest first; a merge touches only its two neighbours, whose new pairs en
 gains a pair of lower rank than the one being applied has its remaining positions put back, so that within
 each word merges happen exactly in the order of the usual one-word algorithm.
 
-Distinct words are replayed once per worker while a bounded memo holds them; documents are whole, of any
-length, and nothing is shuffled.
+The corpus is taken a slice of some MB at a time, so that the index stays in a worker's memory: distinct words
+are replayed once per worker while a bounded memo holds them. Documents are whole; long ones are taken in parts
+that end where the pattern cuts as well, so only a single word of many MB takes memory in proportion (some 50
+bytes a byte). Nothing is shuffled.
 
 Edge cases: a null or empty text has no ids and decodes to empty bytes; repeated rows give repeated rows;
 extra columns are left out, so their names can't clash; an empty table gives an empty result.
@@ -25,6 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.routing import spread
 from .common import list_array, slices
 from .pieces import PieceCoder, held, packed, release
 
@@ -266,7 +269,7 @@ def _coded(df: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
 
     kind = df.schema[id_col].dataType.simpleString()
     read = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return read.mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", decoded binary" * back)
+    return spread(read).mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", decoded binary" * back)
 
 
 def _texts(ids: pa.ListArray, ranks_path: str) -> pa.BinaryArray:

@@ -11,7 +11,8 @@ piece of a slice once, and each distinct word once while :class:`PieceCoder` rem
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ from .common import UnitCache
 OTHER_ASCII = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 OTHER_WIDE = "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _SAFE_CUT = re.compile(f"(?= [^ {OTHER_ASCII}{OTHER_WIDE}])")
+#: Bytes of a text that is taken in parts.
+LONG = 4 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[np.frombuffer((" " + OTHER_ASCII).encode(), dtype=np.uint8)] = True
 #: The last two bytes of the other white space, as a number.
@@ -86,10 +89,10 @@ class PieceCoder:
         return at, values
 
 
-_HELD: dict[object, PieceCoder] = {}
+_HELD: dict[object, Any] = {}
 
 
-def held(key: object, make: Callable[[], PieceCoder]) -> PieceCoder:
+def held(key: object, make: Callable[[], Any]) -> Any:
     """The worker's coder for ``key``. A worker serves many stages; it holds one coder at a time."""
     if key not in _HELD:
         release()
@@ -103,13 +106,18 @@ def release() -> None:
 
 
 def packed(texts: pa.Array, coder: PieceCoder) -> pa.BinaryArray:
-    """The joined values of the pieces of each text; ``texts`` are strings without nulls."""
+    """The joined values of the pieces of each text; ``texts`` are strings without nulls.
+
+    A text of more than ``LONG`` bytes is taken in parts that end where the pattern cuts as well.
+    """
     n = len(texts)
     if n == 0:
         return pa.array([], pa.binary())
     size = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + n + 1]
     if size[-1] > size[0]:
         data = np.frombuffer(texts.buffers()[2], dtype=np.uint8)
+        if n == 1 and size[1] - size[0] > LONG:
+            return pa.array([b"".join(_parts_packed(texts[0].as_py(), coder))], pa.binary())
         if doubtful(data[size[0] : size[-1]]):
             odd = [doubtful(data[a:b]) for a, b in zip(size.tolist(), size[1:].tolist())]
             if any(odd):
@@ -117,6 +125,17 @@ def packed(texts: pa.Array, coder: PieceCoder) -> pa.BinaryArray:
     return _fast(texts, coder)
 
 
+def _parts_packed(text: str, coder: PieceCoder) -> Iterator[bytes]:
+    at = 0
+    while at < len(text):
+        found = _SAFE_CUT.search(text, at + LONG // 2)
+        to = found.start() if found else len(text)
+        part = pa.array([text[at:to]], pa.string())
+        strange = doubtful(np.frombuffer(part.buffers()[2], dtype=np.uint8))
+        yield from (_apart(part, [True], coder) if strange else _fast(part, coder)).to_pylist()
+        at = to
+
+
 def _apart(texts: pa.Array, odd: list[bool], coder: PieceCoder) -> pa.BinaryArray:
     plain = iter(_fast(texts.filter(pa.array([not x for x in odd])), coder).to_pylist())
     docs = [cut(text) for text in texts.filter(pa.array(odd)).to_pylist()]

@@ -18,9 +18,16 @@ written under a new name by every attempt and only the manifest, which Spark com
 lost executor leaves an orphan, never a wrong or missing shard. The store must be a path that pyarrow's file
 systems reach from every executor (a shared mount, hdfs, s3, gs).
 
-Edge cases: a null or empty text holds the end id alone; rows with a null document id come first, in text
-order; repeated rows are repeated documents; other columns are left out, so their names can't clash; an
-empty table makes no shard and an empty manifest.
+Ids are those that the tokenizer gives for the whole text without special tokens added. Where a text contains
+the content of one of the tokenizer's added tokens, such as ``<|endoftext|>``, the tokenizer makes its id of it.
+
+Documents of one id are in the order of a hash of their texts, then of the texts, so a hot id fills no shard
+unless its texts are equal too.
+
+Edge cases: a null or empty text holds the end id alone; rows with a null document id come first; repeated
+rows are repeated documents; document ids must be whole numbers (others are a TypeError: the format keeps 64
+bits); long texts are encoded in pieces; other columns are left out, so their names can't clash; an empty table
+makes no shard and an empty manifest.
 """
 
 from __future__ import annotations
@@ -34,9 +41,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 from ..sources.paths import opened
 from . import simple8b
@@ -56,45 +65,59 @@ _BLANK = _BYTE_CHARACTERS[32]
 _SETTLED = "\u0250"
 
 
-def _encoder(tokenizer_path: str) -> PieceCoder:
-    """Whole texts are encoded by the pieces between which the tokenizer's own pattern always cuts."""
+class Encoder:
+    """Packed ids of whole texts, by the pieces between which the tokenizer's own pattern always cuts.
 
-    def make() -> PieceCoder:
+    Texts that hold the content of an added token go to the tokenizer whole.
+    """
+
+    def __init__(self, tokenizer_path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
-        tokenizer.encode_special_tokens = True
-
-        tokenize = tokenizer.model.tokenize
-
-        def code(words: list[str]) -> list[bytes]:
-            # the model alone codes words that are surely one match of the tokenizer's own pattern
-            out: list[bytes] = []
-            wide = []
-            for k, w in enumerate(words):
-                if w.isascii():
-                    if w[0] == " " and w[1:].isalpha():
-                        w = _BLANK + w[1:]
-                    elif not w.isalpha():
-                        w = w.translate(_BYTE_CHARACTERS)
-                elif max(w) < _SETTLED and (w[1:].isalpha() and (w[0] == " " or w[0].isalpha())):
-                    w = w.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-                else:
-                    wide.append(k)
-                    out.append(b"")
-                    continue
-                out.append(array("I", [t.id for t in tokenize(w)]).tobytes())
-            for k, x in zip(wide, tokenizer.encode_batch_fast([words[k] for k in wide], add_special_tokens=False)):
-                out[k] = array("I", x.ids).tobytes()
-            return out
-
-        def split(piece: str) -> list[str]:
-            return _ASCII_WORDS.findall(piece) if piece.isascii() else [piece]
-
-        return PieceCoder(split, code, pieces=1_000_000, words=150_000)
-
-    return held(("tokenizer", tokenizer_path), make)
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenize = self.tokenizer.model.tokenize
+        self.coder = PieceCoder(lambda piece: _ASCII_WORDS.findall(piece) if piece.isascii() else [piece], self.code, pieces=1_000_000, words=150_000)
+
+    def code(self, words: list[str]) -> list[bytes]:
+        # the model alone codes words that are surely one match of the tokenizer's own pattern
+        out: list[bytes] = []
+        wide = []
+        for k, w in enumerate(words):
+            if w.isascii():
+                if w[0] == " " and w[1:].isalpha():
+                    w = _BLANK + w[1:]
+                elif not w.isalpha():
+                    w = w.translate(_BYTE_CHARACTERS)
+            elif max(w) < _SETTLED and (w[1:].isalpha() and (w[0] == " " or w[0].isalpha())):
+                w = w.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+            else:
+                wide.append(k)
+                out.append(b"")
+                continue
+            out.append(array("I", [t.id for t in self.tokenize(w)]).tobytes())
+        for k, x in zip(wide, self.whole([words[k] for k in wide])):
+            out[k] = x
+        return out
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __call__(self, texts: pa.StringArray) -> list[bytes]:
+        marked = np.zeros(len(texts), dtype=bool)
+        for content in self.added:
+            marked |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return packed(texts, self.coder).to_pylist()
+        plain = iter(packed(texts.filter(pa.array(~marked)), self.coder).to_pylist())
+        strange = iter(self.whole(texts.filter(pa.array(marked)).to_pylist()))
+        return [next(strange) if x else next(plain) for x in marked.tolist()]
+
+
+def _encoder(tokenizer_path: str) -> Encoder:
+    """The worker's encoder for a tokenizer."""
+    return held(("tokenizer", tokenizer_path), lambda: Encoder(tokenizer_path))
 
 
 class ShardWriter:
@@ -215,7 +238,7 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id
                     files.create_dir(folder, recursive=True)
                     out = files.open_output_stream(f"{folder}/{name}")
                     writer = ShardWriter(out)
-                for doc_id, ids in zip(part.column(0).to_pylist(), packed(part.column(1), encoder).to_pylist()):
+                for doc_id, ids in zip(part.column(0).to_pylist(), encoder(part.column(1))):
                     writer.add(doc_id, np.frombuffer(ids + end, dtype="<u4"))
         if writer is not None:
             writer.close()
@@ -223,9 +246,13 @@ def write(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id
             row = {"shard": [shard], "path": [f"{path}/shards/{name}"], "documents": [len(writer.ends)], "ids": [writer.total]}
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents", pa.int64()), ("ids", pa.int64())]))
 
-    read = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = read.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"document ids must be whole numbers, not {kind.simpleString()}")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    read = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("order"))
+    ordered = read.repartitionByRange("doc_id", "order").sortWithinPartitions("doc_id", "order", "text")
+    ordered.select("doc_id", "text").mapInArrow(run, MANIFEST).write.parquet(f"{path}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
 
 
@@ -238,8 +265,8 @@ def _laid_out(manifest: DataFrame) -> DataFrame:
     for row in sorted(manifest.collect(), key=lambda r: r.shard):
         rows.append((row.path, base))
         base += row.ids
-    shards = manifest.sparkSession.createDataFrame(rows, "path string, first long")
-    return shards.repartition(len(rows)) if rows else shards
+    shards = manifest.sparkSession.createDataFrame([(k, *row) for k, row in enumerate(rows)], "k int, path string, first long")
+    return (shards.repartitionById(len(rows), F.col("k")) if rows else shards).select("path", "first")
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, np.ndarray]]:
