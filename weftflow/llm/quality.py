@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.routing import spread
 from .common import slices
 from .pieces import PieceCoder, held, packed
 
@@ -53,7 +54,7 @@ def tokens(piece: str) -> list[str]:
         elif token[0].isdigit():
             out.append(f"<number {min(len(token), 9)}>")
         else:
-            out.append(token[:8])
+            out.append(token)
     return out
 
 
@@ -199,7 +200,7 @@ def score(documents: DataFrame, model: Model | None, id_col: str = "doc_id", tex
 
     kind = documents.schema[id_col].dataType.simpleString()
     read = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return read.mapInArrow(run, f"doc_id {kind}, score double")
+    return spread(read).mapInArrow(run, f"doc_id {kind}, score double")
 
 
 def keep(documents: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -215,4 +216,4 @@ def keep(documents: DataFrame, model: Model | None, threshold: float = THRESHOLD
                     part = part.filter(pa.array(held.value.scores(buckets(texts, own)) >= threshold))
                 yield part
 
-    return documents.mapInArrow(run, documents.schema)
+    return spread(documents).mapInArrow(run, documents.schema)
