@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -29,8 +30,34 @@ def test_quality_on_held_out_labels(spark, scores):
     assert np.mean([scores[i].predicted for i in clean]) > 0.97
 
 
-def test_quality_calibration_and_ranges(scores):
+def test_quality_calibration_and_ranges(spark, scores):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in scores.values())
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{MIDDLE}/labels.parquet").collect()}
+    held = np.array([(scores[i].score, labels[i]) for i in labels if zlib.crc32(str(i).encode()) % 5 == 0])
+    bins = np.minimum((held[:, 0] * 10).astype(int), 9)
+    error = sum(abs(held[bins == k, 0].mean() - held[bins == k, 1].mean()) * (bins == k).mean() for k in set(bins))
+    assert error < 0.05
+
+
+def brute_score(model, text):
+    """The score of one text, word by word and neuron by neuron."""
+    found = [zlib.crc32(t.encode()) % quality.BUCKETS for t in quality.tokens(text)]
+    x = np.zeros(quality.SIZE + 4)
+    if found:
+        x[: quality.SIZE] = sum(model.vectors[b].astype(float) for b in found) / len(found)
+        x[quality.SIZE] = sum(a == b for a, b in zip(found, found[1:])) / max(1, len(found) - 1)
+        x[quality.SIZE + 1 :] = [len(set(found)) / len(found) ** 0.5, np.log1p(len(found)), 1]
+    w1, b1, w2, b2 = model.weights
+    z = (x - model.mean) / model.scale
+    hidden = [np.tanh(sum(z[i] * w1[i, j] for i in range(len(z))) + b1[j]) for j in range(len(b1))]
+    return 1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, w2)) + b2[0]) / model.temperature))
+
+
+def test_quality_scores_match_brute_force(spark):
+    model = quality_model(spark, SMALL)
+    texts = ["", "One two, THREE 44 ---- !!!!!!!!!!!!", "a  b\u00a0c\n\nd", "é漢 _x_ 12345678901", "word " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: round(r.score, 5) for r in quality.score(df, model).collect()} == {k: round(float(brute_score(model, t)), 5) for k, t in enumerate(texts)}
 
 
 def test_quality_is_reproducible(spark, scores):
@@ -81,6 +108,61 @@ def test_language_on_held_out_documents(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id].lang for r in held if r.accepted]) > 0.99
 
 
+@pytest.fixture(scope="module")
+def languages():
+    rows = [r for r in pq.read_table(f"{MIDDLE}/documents.parquet").to_pylist() if r["lang"] and r["text"]]
+    taught = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    return language.fit([r["text"] for r in taught], [r["lang"] for r in taught]), [r for r in rows if r not in taught]
+
+
+STRANGE = ["这是一个测试文档，其中包含一些中文句子。", "Это тестовый документ на русском языке.", "Αυτό είναι ένα έγγραφο δοκιμής", "xqzj vvkk wqpx zzkq jjxv", "これは日本語の文章です。", "한국어 문장입니다 그리고 더 많은 단어들", "זהו מסמך בדיקה בעברית"]
+
+
+def test_rejection(languages):
+    model, held = languages
+    rng = np.random.default_rng(5)
+    texts = [r["text"] for r in held]
+    names, _, accepted = model.predict(texts)
+    assert accepted.mean() >= 0.95 and np.mean([n == r["lang"] for n, r in zip(names, held)]) > 0.98
+    assert model.predict([language.shuffled(t, rng) for t in texts])[2].mean() <= 0.05
+    assert model.predict([t * k for t in STRANGE for k in (1, 3, 30)])[2].mean() <= 0.05
+    assert 0.01 < model.temperature < 20 and 0 < model.reject_below < 1
+
+
+def brute_prediction(model, text):
+    found = brute_subwords(text)
+    mean = sum(model.table[b].astype(float) for b in found) / max(1, len(found)) if found else np.zeros(model.table.shape[1])
+    z = np.exp((mean[:-1] + model.bias) / model.temperature)
+    bar = model.bars[sum(len(found) > s for s in language.SIZES)]
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0, False
+    best = int(np.argmax(z))
+    score = z[best] / z.sum()
+    return model.languages[best], round(score, 6), bool(score >= model.reject_below and mean[-1] >= bar)
+
+
+def test_predictions_match_brute_force(languages, monkeypatch):
+    model, held = languages
+    texts = ["", "12 !", *STRANGE, *(r["text"][:3000] for r in held[:30]), "x" * 700]
+    names, scores, accepted = model.predict(texts)
+    assert list(zip(names, scores.round(6).tolist(), accepted.tolist())) == [brute_prediction(model, t) for t in texts]
+    monkeypatch.setattr(language, "CHUNK", 100)  # in parts that end at gaps
+    texts = [t for t in texts if "x" * 700 not in t]
+    again = model.predict(texts)
+    assert again[0] == [brute_prediction(model, t)[0] for t in texts] and np.allclose(again[1], [brute_prediction(model, t)[1] for t in texts], atol=1e-6)
+
+
+def test_training_is_bounded(spark, monkeypatch):
+    rows = [(k, f"wort{k} " * 30, f"l{k % 7}") for k in range(700)] + [(1000 + k, "z" * 70000, "long") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    monkeypatch.setattr(language, "TRAIN_BYTES", 9000)
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda texts, names: seen.append((sum(map(len, texts)), set(names))))
+    language.train(docs, F.lit(True))
+    assert seen[0][1] <= {"l0", "l1", "l2"} and 0 < seen[0][0] < 20000
+
+
 def test_languages_of_odd_rows(spark):
     docs = odd(spark).withColumn("lang", F.when(F.col("doc_id") == 4, "xx"))
     docs = docs.union(spark.createDataFrame([(7, "ÀÉ İı ΣΑΣ ǅ 漢字", *["mine"] * 6)], docs.schema))
@@ -133,7 +215,7 @@ def brute_verdict(url, rules):
     return host, path, best[3], best[4]
 
 
-URLS = [None, "", "no scheme", "://", "http://", "http://com/en/", "HTTP://Example.COM/en/7?q", "x://a.example.com/en/71", "x://example.com/en/6", "x://notexample.com/en/7", "x://com.evil/en/", "x://a.net/de/#/x", "x://example.net/de/8", "x://u:p@b.org:80/es/", "x://é.org/es/ü", "x://org?/es/", "x://.org/es/", "x://org./es/", "a://b://c.org/es/", "x://a.org/es/\nz", "x://" + "a." * 3000 + "org/es/"]
+URLS = [None, "", "no scheme", "://", "http://", "http://com/en/", "HTTP://Example.COM/en/7?q", "x://a.example.com/en/71", "x://example.com/en/6", "x://notexample.com/en/7", "x://com.evil/en/", "x://a.net/de/#/x", "x://example.net/de/8", "x://u:p@b.org:80/es/", "x://é.org/es/ü", "x://org?/es/", "x://.org/es/", "x://org./es/", "a://b://c.org/es/", "x://a.org/es/\nz", "x://a.org/es/\0z", "x://a\0.net/de/", "x://" + "a." * 3000 + "org/es/"]
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 40])
