@@ -42,7 +42,7 @@ BITS = 3
 LEVELS = ((5, 2), (8, 5), (16, 13))
 LIMIT = 4096
 SEED = 42
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: The 64-bit sum of eight counters of a byte each, by the byte whose bits are counted (high bit first).
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64).ravel()
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
