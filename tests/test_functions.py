@@ -1,5 +1,6 @@
 """Scalar functions: golden values, round trips, edges and errors."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,33 @@ def test_split_set_join_printf(spark):
     assert list(row) == [["a", "b"], "apple,banana,orange", "12", "a b"]
 
 
+@pytest.mark.parametrize(
+    "pattern, value, kind, expected",
+    [
+        ("<%d>", -5, "int", "<-5>"), ("<%i>", -5, "int", "<-5>"), ("<%5d|>", 42, "int", "<   42|>"), ("<%-5d|>", 42, "int", "<42   |>"), ("<%05d>", -42, "int", "<-0042>"), ("<%+d>", 42, "int", "<+42>"),
+        ("<%ld>", 1 << 40, "long", "<1099511627776>"), ("<%lld>", -(1 << 40), "long", "<-1099511627776>"), ("<%hhd>", 7, "int", "<7>"), ("<%zd>", 7, "long", "<7>"),
+        ("<%u>", 7, "int", "<7>"), ("<%u>", -1, "int", "<4294967295>"), ("<%lu>", -1, "long", "<18446744073709551615>"), ("<%llu>", 5, "long", "<5>"), ("<%08u>", 99, "int", "<00000099>"), ("<%03u>", 12345, "int", "<12345>"), ("<%-6u|>", 99, "int", "<99    |>"), ("<%6u>", 99, "int", "<    99>"),
+        ("<%x>", 255, "int", "<ff>"), ("<%X>", -1, "int", "<FFFFFFFF>"), ("<%#x>", 255, "int", "<0xff>"), ("<%o>", 8, "int", "<10>"), ("<%c>", 65, "int", "<A>"), ("<%s>", "q%d", "string", "<q%d>"), ("<%.2s>", "abc", "string", "<ab>"), ("<%6.2f>", 3.14159, "double", "<  3.14>"), ("<%e>", 12.5, "double", "<1.250000e+01>"), ("100%% of %d%%", 3, "int", "100% of 3%"),
+    ],
+)
+def test_printf_as_in_c(spark, pattern, value, kind, expected):
+    assert one(spark, strings.string_printf(pattern, F.lit(value).cast(kind)))[0] == expected
+
+
+def test_printf_errors(spark):
+    assert one(spark, strings.string_printf("100%%"))[0] == "100%"
+    for pattern, n in (("%d", 0), ("%d", 2), ("%*d", 2), ("%n", 1), ("%p", 1), ("%", 0)):
+        with pytest.raises(ValueError):
+            strings.string_printf(pattern, *[F.lit(1)] * n)
+
+
+def test_hashes_of_many_keys_at_once():
+    keys = [*GOLDEN, "x" * 300, "é漢" * 200, "", "\0"]
+    assert hashing.js_hashes_of(pa.array(["cut off", *keys])[1:]).tolist() == [hashing.js_hash_of(k) for k in keys]
+    assert hashing.js_hashes_of(pa.array([b"\xff", b""], pa.binary())).tolist() == [hashing.js_hash_of(b"\xff"), hashing.JS_SEED]
+    assert len(hashing.js_hashes_of(pa.array([], pa.string()))) == 0
+
+
 def test_keys(spark):
     row = one(spark, *(codec.to_key(F.lit(x)) for x in (0, 1, 123456789012)))
     assert list(row) == ["0000000000", "0000000001", "123456789012"]

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from weftflow.functions import hashing
 from weftflow.operators import mapping, reducing, registry, routing
 from weftflow.operators.counters import Counters
 from weftflow.sources import text
@@ -60,7 +61,7 @@ class Hooks(reducing.BatchReducer):
 @pytest.fixture(scope="module")
 def lines(spark):
     rng = random.Random(1)
-    vocabulary = "BBM: Bayesian Browsing Model from Petabyte scale Data é".split()
+    vocabulary = "one two three four five é six漢 Seven".split()
     rows = [(str(k), " ".join(rng.choices(vocabulary, k=rng.randrange(12)))) for k in range(2000)]
     expected = Counter(w for _, line in rows for w in line.split())
     return spark.createDataFrame(rows, "key string, value string").repartition(3), expected
@@ -84,7 +85,7 @@ def test_word_count_files(spark, tmp_path):
     (tmp_path / "text-0").write_text(once)
     (tmp_path / "text-1").write_text(once + "\n\n")
     counters = Counters()
-    read = counters.counted(text.read_text(spark, f"{tmp_path}/text-*", by_file=True), "in")
+    read = counters.counted(text.read_text(spark, f"{tmp_path}/text-*", by_file=True), "in", F.count("key"))
     mapped = counters.counted(mapping.run_mapper(read, Words, mapping.Context(shards=2), by_file=True), "out")
     out = reducing.run_reducer(mapped, Sum, mapping.Context(shards=2)).collect()
     assert {r.key: r.value for r in out} == dict.fromkeys("apple banana cat dog orange tiger".split(), "6")
@@ -114,11 +115,54 @@ class PerFile(mapping.Mapper):
         self.output(self.current_file.rsplit("/", 1)[-1], str(self.n))
 
 
-def test_file_hooks_run_for_each_file(spark, tmp_path):
-    for name, lines in (("a", "1\n2\n"), ("b", ""), ("c", "3\n")):
+@pytest.mark.parametrize("tasks", [None, 1, 2])
+def test_file_hooks_run_for_each_file(spark, tmp_path, tasks):
+    for name, lines in (("a", "1\n2\n"), ("b", ""), ("c", "3\n"), ("d", "")):
         (tmp_path / name).write_text(lines)
-    out = mapping.run_mapper(text.read_text(spark, f"{tmp_path}/*", by_file=True), PerFile, mapping.Context(map_only=True), by_file=True)
-    assert sorted((r.key, r.value, r.shard) for r in out.collect()) == [("", "0", None), ("a", "2", None), ("c", "1", None)]
+    out = mapping.run_mapper(text.read_text(spark, f"{tmp_path}/*", by_file=True, tasks=tasks), PerFile, mapping.Context(map_only=True), by_file=True)
+    assert sorted((r.key, r.value, r.shard) for r in out.collect()) == [("a", "2", None), ("b", "0", None), ("c", "1", None), ("d", "0", None)]
+
+
+class Running(mapping.Mapper):
+    """Its state goes on from file to file."""
+
+    files = lines = 0
+
+    def start(self):
+        self.files += 1
+
+    def map(self, key, value):
+        self.lines += 1
+
+    def flush(self):
+        self.output(str(self.files), str(self.lines))
+
+
+def test_state_goes_on_over_the_files_of_a_task(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"f{k}").write_text("x\n" * k)
+    read = text.read_text(spark, f"{tmp_path}/f*", by_file=True, tasks=1)
+    out = mapping.run_mapper(read, Running, mapping.Context(map_only=True), by_file=True).collect()
+    assert [(r.key, r.value) for r in out] == [("1", "0"), ("2", "1"), ("3", "3"), ("4", "6"), ("5", "10")]
+    assert text.read_text(spark, f"{tmp_path}/f*", by_file=True, tasks=2).rdd.getNumPartitions() == 2
+
+
+def test_default_shards_are_those_of_the_expression(spark):
+    keys = ["", "a", "é漢", "x" * 300, "word"]
+    df = spark.createDataFrame([(k, k) for k in keys], "key string, value string")
+
+    class Same(mapping.Mapper):
+        def map(self, key, value):
+            self.output(key, value)
+
+    out = mapping.run_mapper(df, Same, mapping.Context(shards=7))
+    assert out.where(F.col("shard") != hashing.shard_of("key", 7)).count() == 0 and out.count() == 5
+    with pytest.raises(Exception, match="shard outside"):
+        class Bad(Same):
+            def shard(self, key, shards):
+                return -1
+
+        routing.checked(mapping.run_mapper(df, Bad, mapping.Context(shards=7)), 7).collect()
 
 
 class Everywhere(mapping.Mapper):
@@ -199,6 +243,13 @@ def test_fold_expression(spark):
     assert dict(out.collect()) == {"a": -12, "b": -5}
 
 
+def test_fold_with_combined_states(spark, monkeypatch):
+    monkeypatch.setattr(reducing, "PART", 7)
+    df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("key"), F.col("id").alias("value")).repartition(5)
+    out = reducing.fold(df, F.lit(0).cast("long"), lambda s, v: s + v, lambda s: -s, combine=lambda a, b: a + b)
+    assert dict(out.collect()) == {str(k): -sum(range(k, 1000, 3)) for k in range(3)}
+
+
 def test_registries():
     own = registry.Registry("thing")
 

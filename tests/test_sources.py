@@ -30,6 +30,9 @@ def test_strict_lines(spark, tricky, tmp_path):
     (tmp_path / "long").write_bytes(b"z" * 20000 + b"\n")
     assert rows(text.read_text(spark, str(tmp_path / "long"), strict=True)) == [("0000000000", ""), ("0000016383", "")]
     assert rows(text.read_text(spark, str(tmp_path / "long"))) == [("0000000000", "z" * 20000)]
+    (tmp_path / "nul").write_bytes(b"one\ntw\0o\nthree\nfour\n\0\nsix\nseven\n")
+    assert [v for _, v in rows(text.read_text(spark, str(tmp_path / "nul"), strict=True, split=3))] == ["one", "", "", "four", "", "", "seven"]
+    assert rows(formats.reader("text")(spark, str(tmp_path / "nul"), strict=True, max_line=5))[3:6] == [("0000000009", ""), ("0000000013", ""), ("0000000015", "")]
     with pytest.raises(ValueError):
         text.read_text(spark, tricky, max_line=1)
 
@@ -91,6 +94,19 @@ def test_records_round_trip(spark, tmp_path):
     assert dict(typed.dtypes)["value"] == "int"
 
 
+@pytest.mark.parametrize("tasks", [1, 2, 7])
+def test_files_are_packed_whole(tasks):
+    files = [(f"f{k}", size) for k, size in enumerate((5, 0, 900, 3, 3, 0, 40))]
+    got = text.packed(files, tasks)
+    assert [f for some in got for f in some] == files and len(got) == tasks and all(got)
+
+
+def test_records_by_file(spark, tmp_path):
+    records.write(spark.createDataFrame([(b"k", b"v")] * 3, "key binary, value binary").repartition(2), str(tmp_path / "r"))
+    read = records.read(spark, str(tmp_path / "r"), by_file=True, tasks=1).collect()
+    assert sum(r.key is None for r in read) == len({r.file for r in read}) and read[0].key is None and sum(r.key is not None for r in read) == 3
+
+
 def test_formats():
     assert formats.reader("text") and formats.reader("protofile") and formats.writer("recordio")
     for name in ("", "something_without_name", "Text"):

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ RS_FACTOR_FACTOR = 378551
 FNV_FACTOR = 0x811C9DC5
 AP_SEED = 0xAAAAAAAA
 HIGH_NIBBLE = 0xF0000000
+#: Bytes of a key that is hashed with others at once.
+LONG = 256
 
 
 def _long(value: int) -> Column:
@@ -177,3 +181,26 @@ def js_hash_of(key: str | bytes) -> int:
         h ^= (h << 5) + (byte - 256 if byte > 127 else byte) + (h >> 2)
         h &= MASK
     return h
+
+
+def js_hashes_of(keys: pa.Array) -> np.ndarray:
+    """:func:`js_hash` of string or binary keys without nulls, all at once: one step for each byte of the longest
+    of them. The few that are longer than ``LONG`` bytes are hashed alone."""
+    if len(keys) == 0:
+        return np.zeros(0, dtype=np.uint32)
+    ends = np.frombuffer(keys.buffers()[1], dtype=np.int32)[keys.offset : keys.offset + len(keys) + 1].astype(np.int64)
+    data = keys.buffers()[2]
+    signed = np.frombuffer(data, dtype=np.int8) if data else np.zeros(0, dtype=np.int8)
+    sizes = np.diff(ends)
+    order = np.argsort(-np.where(sizes > LONG, 0, sizes), kind="stable")
+    starts, left = ends[:-1][order], np.where(sizes > LONG, 0, sizes)[order]
+    h = np.full(len(keys), JS_SEED, dtype=np.uint32)
+    for at in range(int(left[0])):
+        n = int(np.searchsorted(-left, -at, side="left"))  # keys that have a byte here
+        now = h[:n]
+        now ^= (now << np.uint32(5)) + signed[starts[:n] + at].astype(np.int32).view(np.uint32) + (now >> np.uint32(2))
+    out = np.empty_like(h)
+    out[order] = h
+    for k in np.flatnonzero(sizes > LONG).tolist():
+        out[k] = js_hash_of(keys[k].as_py())
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,11 +30,47 @@ def join_strings(parts: Column | str, delimiter: str = " ") -> Column:
     return F.array_join(parts, delimiter)
 
 
+#: A conversion of C's printf: flags, width, precision, length and kind.
+_CONVERSION = re.compile(r"%([-+ #0]*)([0-9]*)(\.[0-9]+)?(hh|h|ll|l|q|j|z|t|L)?(.?)", re.DOTALL)
+_WIDE = ("l", "ll", "q", "j", "z", "t")
+
+
 def string_printf(pattern: str, *arguments: Column | str) -> Column:
-    """C-like formatting."""
-    return F.format_string(pattern, *arguments)
+    """C formatting: ``%d %i %u %x %X %o %c %s %e %E %f %g %G %a %A %%``, with flags, width, precision and length.
+
+    Lengths matter for ``%u``, which takes negative numbers as unsigned ones of 32 bits or, with ``l`` and
+    longer, 64. ``%g`` keeps trailing zeros. ``*``, ``%n`` and ``%p`` are a ValueError, as are missing arguments.
+    """
+    out, taken, at = "", [], 0
+    for m in _CONVERSION.finditer(pattern):
+        flags, width, precision, length, kind = m.groups()
+        out += pattern[at : m.start()]
+        at = m.end()
+        if kind == "%":
+            out += "%%"
+            continue
+        if kind not in tuple("diuxXocseEfFgGaA"):
+            raise ValueError(f"cannot format {m[0]!r}")
+        if len(taken) == len(arguments):
+            raise ValueError(f"too few arguments for {pattern!r}")
+        value = arguments[len(taken)]
+        value = F.col(value) if isinstance(value, str) else value
+        if kind == "u":
+            two = F.lit(str(1 << (64 if length in _WIDE else 32))).cast("decimal(38,0)")
+            wide = value.cast("decimal(38,0)")
+            value = F.when(wide < 0, wide + two).otherwise(wide).cast("string")
+            if "0" in flags and width and "-" not in flags:
+                value = F.lpad(value, F.greatest(F.lit(int(width)), F.length(value)), "0")
+            out += "%" + ("-" if "-" in flags else "") + width + "s"
+        else:
+            kind = {"i": "d", "F": "f"}.get(kind, kind)
+            out += f"%{''.join(dict.fromkeys(flags.replace('0', '') if '-' in flags else flags))}{width}{precision or ''}{kind}"
+        taken.append(value)
+    if len(taken) < len(arguments):
+        raise ValueError(f"too many arguments for {pattern!r}")
+    return F.format_string(out + pattern[at:], *taken) if taken else F.lit((out + pattern[at:]).replace("%%", "%"))
 
 
 def string_append(to: Column | str, pattern: str, *arguments: Column | str) -> Column:
     """``to`` with a formatted string after it."""
-    return F.concat(F.col(to) if isinstance(to, str) else to, F.format_string(pattern, *arguments))
+    return F.concat(F.col(to) if isinstance(to, str) else to, string_printf(pattern, *arguments))

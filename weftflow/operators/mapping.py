@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import js_hash_of
+from ..functions.hashing import js_hash_of, js_hashes_of
 from .registry import mapper as mappers
+from .routing import spread
 
 #: Rows that Python sends back at once.
 BATCH = 4096
@@ -35,11 +37,14 @@ class Mapper:
     """Subclasses define :meth:`map` and may define the hooks and :meth:`shard`.
 
     :meth:`start` and :meth:`flush` run once for each input file, empty ones too, and may emit. One mapper
-    object serves all files of a partition, so its state goes on from file to file.
+    object serves all files of a partition, so its state goes on from file to file. Emitted keys get the default
+    shard a batch at a time, unless a subclass has a :meth:`shard` of its own.
     """
 
     context = Context()
     current_file = ""
+    #: Stands for the default shard, which is computed later.
+    DEFAULT = -(1 << 40)
 
     def __init__(self):
         self.emitted: list[tuple[int | None, object, object]] = []
@@ -55,7 +60,8 @@ class Mapper:
         return js_hash_of(key) % shards
 
     def output(self, key, value) -> None:
-        self.emitted.append((None if self.context.map_only else self.shard(key, self.context.shards), key, value))
+        own = type(self).shard is not Mapper.shard and not self.context.map_only
+        self.emitted.append((self.shard(key, self.context.shards) if own else Mapper.DEFAULT, key, value))
 
     def output_to_shard(self, shard: int, key, value) -> None:
         if self.context.map_only:
@@ -78,9 +84,11 @@ def objects(column: pa.Array) -> list:
 def run_mapper(df: DataFrame, mapper: str | Callable[[], Mapper], context: Context, by_file: bool = False, kind: str = "string") -> DataFrame:
     """``shard, key, value`` of what a mapper (a class or a registered name) emits for ``df(key, value, file)``.
 
-    The hooks run whenever the file changes within a partition; with ``by_file``, where every partition is a
-    whole file, also for files without rows. ``kind`` is the type of keys and values, string or binary.
-    ``shard`` is null in a map-only job. Null keys and values count as empty.
+    The hooks run whenever the file changes within a partition. With ``by_file`` a row with a null key marks
+    the start of each file, as readers by file give them, so that the hooks also run for files without rows;
+    if there are no rows at all in a partition they run once, for an unnamed file. ``kind`` is the type of keys
+    and values, string or binary. ``shard`` is null in a map-only job. Null keys and values count as empty.
+    Rows that belong to no file are dealt to all cores where the input has fewer splits.
     """
     create = mappers.find(mapper) if isinstance(mapper, str) else mapper
     arrow = pa.string() if kind == "string" else pa.binary()
@@ -94,15 +102,34 @@ def run_mapper(df: DataFrame, mapper: str | Callable[[], Mapper], context: Conte
         def sent() -> pa.RecordBatch:
             shards, keys, values = zip(*own.emitted) if own.emitted else ((), (), ())
             own.emitted = []
-            return pa.record_batch([pa.array(shards, pa.int32()), pa.array(keys, arrow), pa.array(values, arrow)], names=["shard", "key", "value"])
+            keys = pa.array(keys, arrow)
+            if context.map_only:
+                shards = pa.nulls(len(keys), pa.int32())
+            else:
+                shards = np.array(shards, dtype=np.int64)
+                default = shards == Mapper.DEFAULT
+                if default.any():
+                    shards = np.where(default, js_hashes_of(keys) % np.uint32(context.shards), shards)
+                shards = pa.array(shards.astype(np.int32))
+            return pa.record_batch([shards, keys, pa.array(values, arrow)], names=["shard", "key", "value"])
+
+        def opened(name: str) -> None:
+            nonlocal file
+            if file is not None:
+                own.flush()
+            file = own.current_file = name
+            own.start()
 
         for batch in batches:
-            for key, value, at in zip(*(objects(batch.column(k)) for k in range(3))):
+            files = objects(batch.column(2))
+            marks = np.flatnonzero(batch.column(3).to_numpy(zero_copy_only=False)).tolist() if by_file else []
+            marks = set(marks)
+            for k, (key, value, at) in enumerate(zip(objects(batch.column(0)), objects(batch.column(1)), files)):
+                if k in marks:
+                    opened(at)
+                    continue
                 if at != file:
-                    if file is not None:
-                        own.flush()
-                    file = own.current_file = at
-                    own.start()
+                    opened(at)
                 own.map(key, value)
                 if len(own.emitted) >= BATCH:
                     yield sent()
@@ -114,7 +141,8 @@ def run_mapper(df: DataFrame, mapper: str | Callable[[], Mapper], context: Conte
 
     file = F.coalesce(F.col("file"), F.lit("")) if "file" in df.columns else F.lit("")
     parts = [F.coalesce(F.col(c).cast(kind), F.lit(empty).cast(kind)).alias(c) for c in ("key", "value")]
-    return df.select(*parts, file.alias("file")).mapInArrow(run, f"shard int, key {kind}, value {kind}")
+    read = df.select(*parts, file.alias("file"), F.col("key").isNull().alias("mark"))
+    return (read if by_file or "file" in df.columns else spread(read)).mapInArrow(run, f"shard int, key {kind}, value {kind}")
 
 
 def emit(df: DataFrame, key: Column, value: Column, where: Column | None = None) -> DataFrame:

@@ -9,8 +9,10 @@ Spark has dealt to shards and sorted by key; a key's values stream past, so no k
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,9 @@ from .mapping import BATCH, Context, objects
 from .registry import reducer_class
 from .routing import to_shards
 
+#: The channel of the numbers of keys.
+KEYS = -1
+
 
 class Reducer:
     """:meth:`start` and :meth:`flush` run once for each shard, also where it has no keys, and may emit."""
@@ -77,11 +82,12 @@ class IncrementalReducer(Reducer):
         self.end_reduce(key, state)
 
 
-def run_reducer(mapped: DataFrame, reducer: str | Callable[[], Reducer] | list, context: Context, incremental: bool = False, kind: str = "string") -> DataFrame:
+def run_reducer(mapped: DataFrame, reducer: str | Callable[[], Reducer] | list, context: Context, incremental: bool = False, kind: str = "string", count_keys: bool = False) -> DataFrame:
     """``shard, channel, key, value`` of what reducers emit for ``mapped(shard, key, value)``.
 
     ``reducer`` is a class or a registered name, or a list of them, one for each shard. One row that no
-    reducer sees goes to every shard, so that the hooks run where there are no keys.
+    reducer sees goes to every shard, so that the hooks run where there are no keys. With ``count_keys`` each
+    shard adds a row in channel ``KEYS`` with the number of keys it reduced.
     """
     kinds = reducer if isinstance(reducer, list) else [reducer] * context.shards
     if len(kinds) != context.shards:
@@ -92,32 +98,40 @@ def run_reducer(mapped: DataFrame, reducer: str | Callable[[], Reducer] | list,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shard = None
+        seen = 0
 
-        def rows() -> Iterator[tuple]:
+        def runs() -> Iterator[tuple]:
+            """(key, shard, values) of each run of one key in a batch."""
             for batch in batches:
-                yield from zip(*map(objects, batch.columns))
+                keys = batch.column(1).to_numpy(zero_copy_only=False)
+                values = objects(batch.column(2))
+                edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+                for a, b in zip(edges, edges[1:]):
+                    if a < b:
+                        yield keys[a], batch.column(0)[a].as_py() if keys[a] is None else None, values[a:b]
 
         def sent() -> pa.RecordBatch:
             channels, keys, values = zip(*own.emitted) if own.emitted else ((), (), ())
             own.emitted = []
-            columns = [pa.array([shard] * len(keys), pa.int32()), pa.array(channels, pa.int32()), pa.array(keys, arrow), pa.array(values, arrow)]
+            columns = [pa.array(np.full(len(keys), shard, dtype=np.int32)), pa.array(channels, pa.int32()), pa.array(keys, arrow), pa.array(values, arrow)]
             return pa.record_batch(columns, names=["shard", "channel", "key", "value"])
 
-        for key, group in groupby(rows(), key=lambda row: row[1]):
+        for key, same in groupby(runs(), key=itemgetter(0)):  # a key may go on in the next batch
             if key is None:  # the rows that come first in every shard
-                shard = next(group)[0]
+                shard = next(same)[1]
                 own = create[shard]()
                 own.context, own.emitted = context, []
                 own.start()
                 continue
-            values = (row[2] for row in group)
+            values = chain.from_iterable(map(itemgetter(2), same))
+            seen += 1
             own.run_key(key, values)
-            for _ in values:
-                pass
             if len(own.emitted) >= BATCH:
                 yield sent()
         if own is not None:
             own.flush()
+            if count_keys:
+                own.emitted.append((KEYS, empty, str(seen) if kind == "string" else str(seen).encode()))
             yield sent()
 
     spark = mapped.sparkSession
@@ -133,12 +147,34 @@ def grouped(df: DataFrame, *aggregates: Column, key: str = "key") -> DataFrame:
     return df.groupBy(key).agg(*aggregates)
 
 
-def fold(df: DataFrame, zero: Column, merge: Callable[[Column, Column], Column], finish: Callable[[Column], Column] | None = None, key: str = "key", value: str = "value") -> DataFrame:
-    """``key, value``: a fold over a key's values in value order, for folds that no aggregate expresses.
+#: Values that a fold with a ``combine`` gathers in one row.
+PART = 10_000
+
+
+def fold(
+    df: DataFrame,
+    zero: Column,
+    merge: Callable[[Column, Column], Column],
+    finish: Callable[[Column], Column] | None = None,
+    combine: Callable[[Column, Column], Column] | None = None,
+    key: str = "key",
+    value: str = "value",
+) -> DataFrame:
+    """``key, value``: a fold over a key's values, for folds that no aggregate expresses.
 
-    A key's values are gathered in one row, so this is for keys of bounded size; sums, counts, extremes and
-    other algebraic folds belong in :func:`grouped`, which has no such bound.
+    With ``combine``, which joins two states, about ``PART`` values at a time are folded, and then their states:
+    a key may have any number of values, which are folded in no set order. Without it a key's values are folded
+    in value order and gathered in one row, so that is for keys of bounded size. Sums, counts, extremes and
+    other algebraic folds belong in :func:`grouped`.
     """
-    gathered = F.sort_array(F.collect_list(value))
-    folded = F.aggregate(gathered, zero, merge, finish) if finish else F.aggregate(gathered, zero, merge)
-    return df.groupBy(key).agg(folded.alias("value"))
+
+    def folded(states: Column, step: Callable[[Column, Column], Column], last: bool) -> Column:
+        return F.aggregate(states, zero, step, finish) if finish and last else F.aggregate(states, zero, step)
+
+    if combine is None:
+        return df.groupBy(key).agg(folded(F.sort_array(F.collect_list(value)), merge, True).alias("value"))
+    # numbers of rows within their partitions, which cut a partition's rows into parts
+    part = F.expr(f"monotonically_increasing_id() div {PART}")
+    parts = df.select(F.col(key).alias("key"), F.col(value).alias("value"), part.alias("part")).groupBy("key", "part")
+    states = parts.agg(folded(F.collect_list("value"), merge, False).alias("state"))
+    return states.groupBy("key").agg(folded(F.collect_list("state"), combine, True).alias("value")).withColumnRenamed("key", key)

@@ -1,14 +1,18 @@
 """Jobs as data: which mappers read what, which reducers write where, and the plan that does it.
 
 :func:`parse` takes the textual form (options such as ``--mapreduce_map_io={m1,m2}:Class:text:/in-*:/out``);
-machines only say how many tasks there are, Spark places them. :class:`Job` is the same in Python. ``run``
-compiles a job into DataFrame plans and writes its outputs.
+machines only say how many tasks there are, Spark places them. The command's arguments are kept, of which
+``--mr_max_input_line_length=N`` has a meaning here: text is read through a line buffer of N bytes. Temporary
+folders, log files, buffer sizes and ports are parsed and left to Spark. :class:`Job` is the same in Python.
+``run`` compiles a job into DataFrame plans and writes its outputs, each format in one pass.
 """
 
 from __future__ import annotations
 
 import logging
 import os.path
+import re
+import shlex
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from ..operators import mapping, reducing, registry
 from ..operators.counters import Counters
 from ..sources import formats
+from ..sources.paths import matching
 
 log = logging.getLogger("weftflow")
 
@@ -37,6 +42,8 @@ class MapTask:
     input_format: str = "text"
     output_format: str | None = None
     output_path: str | None = None
+    #: How many tasks share its files; by default as many as there are cores.
+    tasks: int | None = None
 
 
 @dataclass(frozen=True)
@@ -50,11 +57,17 @@ class ReduceTask:
 
 @dataclass(frozen=True)
 class Job:
-    """Checked when made: formats and classes must be known, and map-only jobs need map outputs."""
+    """Checked when made: formats and classes must be known, and map-only jobs need map outputs.
+
+    With ``max_line`` text is read through a line buffer of so many bytes. Without ``force_mkdir`` the folders
+    that outputs go to must exist.
+    """
 
     maps: tuple[MapTask, ...]
     reduces: tuple[ReduceTask, ...] = ()
     incremental: bool = False
+    max_line: int | None = None
+    force_mkdir: bool = True
     counters: Counters = field(default_factory=Counters, compare=False)
 
     def __post_init__(self):
@@ -79,7 +92,9 @@ class Job:
 
 
 def _fields(text: str, mark: str) -> list[str]:
-    return [x.strip() for x in text.split(mark) if x.strip()]
+    """Parts between marks, without blanks around them; a colon before two slashes is part of a URI."""
+    parts = re.split(r":(?!//)" if mark == ":" else re.escape(mark), text)
+    return [x.strip() for x in parts if x.strip()]
 
 
 def _machines(text: str) -> list[str]:
@@ -119,6 +134,23 @@ class Options:
     reduce_tasks: list[dict]
     incremental: bool
     values: dict[str, str]
+    force_mkdir: bool = False
+
+    @property
+    def command(self) -> str | None:
+        """The program that the textual form names; here classes are found by name instead."""
+        return next(iter(shlex.split(self.values.get("cmd", ""))), None)
+
+    @property
+    def arguments(self) -> list[str]:
+        return shlex.split(self.values.get("cmd", ""))[1:]
+
+    @property
+    def max_line(self) -> int | None:
+        found = [x.partition("=")[2] for x in self.arguments if x.lstrip("-").partition("=")[0] == "mr_max_input_line_length"]
+        if found and not (found[-1].isdigit() and int(found[-1]) > 1):
+            raise ValueError(f"not a line length: {found[-1]!r}")
+        return int(found[-1]) if found else None
 
     @property
     def machines(self) -> set[str]:
@@ -131,7 +163,7 @@ class Options:
             MapTask(t["class"], t["input_path"], t["input_format"], t["output_format"], t["output_path"] if t["output_format"] else None) for t in self.map_tasks
         )
         reduces = tuple(ReduceTask(t["class"], tuple(_fields(t["output_path"], ",")), t["output_format"]) for t in self.reduce_tasks)
-        return Job(tuple(maps), reduces, self.incremental)
+        return Job(tuple(maps), reduces, self.incremental, self.max_line, self.force_mkdir)
 
 
 def parse(arguments: list[str]) -> Options:
@@ -152,56 +184,94 @@ def parse(arguments: list[str]) -> Options:
     if "maponly_map_io" in values:
         if "map_io" in values or "reduce_io" in values:
             raise ValueError("a map-only job has no other map or reduce tasks")
-        return Options(_tasks(values["maponly_map_io"], MAP_ONLY_FIELDS, tmp, logs), [], False, values)
+        return Options(_tasks(values["maponly_map_io"], MAP_ONLY_FIELDS, tmp, logs), [], False, values, "force_mkdir" in switches)
     if "map_io" not in values or "reduce_io" not in values:
         raise ValueError("map and reduce tasks are both needed")
-    return Options(_tasks(values["map_io"], MAP_FIELDS, tmp, logs), _tasks(values["reduce_io"], REDUCE_FIELDS, tmp, logs), "incremental_mode" in switches, values)
+    maps, reduces = _tasks(values["map_io"], MAP_FIELDS, tmp, logs), _tasks(values["reduce_io"], REDUCE_FIELDS, tmp, logs)
+    return Options(maps, reduces, "incremental_mode" in switches, values, "force_mkdir" in switches)
 
 
-def mapped(spark: SparkSession, job: Job, task: MapTask) -> DataFrame:
+def mapped(spark: SparkSession, job: Job, number: int) -> DataFrame:
+    """``shard, key, value`` of the map task of this number, with its counters."""
+    task = job.maps[number]
     kind = "string" if task.input_format == "text" else "binary"
-    context = mapping.Context(task.input_format, task.output_format or "", len(job.reduces), job.map_only)
-    read = formats.reader(task.input_format)(spark, list(task.input_path) if isinstance(task.input_path, tuple) else task.input_path, by_file=True)
-    read = job.counters.counted(read, f"map_input_{job.maps.index(task)}")
+    context = mapping.Context(task.input_format, task.output_format or (job.reduces[0].output_format if job.reduces else ""), len(job.reduces), job.map_only)
+    options = {"tasks": task.tasks} | ({"strict": True, "max_line": job.max_line} if job.max_line and task.input_format == "text" else {})
+    read = formats.reader(task.input_format)(spark, list(task.input_path) if isinstance(task.input_path, tuple) else task.input_path, by_file=True, **options)
+    # rows without a key mark the files
+    read = job.counters.counted(read, f"map_input_{number}", F.count("key"))
+    read = job.counters.counted(read, f"input_shards_{number}", F.count_if(F.col("key").isNull()))
     out = mapping.run_mapper(read, task.mapper, context, by_file=True, kind=kind)
-    return job.counters.counted(out, f"map_output_{job.maps.index(task)}")
+    return job.counters.counted(out, f"map_output_{number}")
 
 
 def reduced(spark: SparkSession, job: Job) -> DataFrame:
     """``shard, channel, key, value`` of all reducers of a job."""
-    parts = [mapped(spark, job, task) for task in job.maps]
+    parts = [mapped(spark, job, number) for number in range(len(job.maps))]
     kind = "binary" if any(task.input_format != "text" for task in job.maps) else "string"
     parts = [part.select("shard", *(F.col(c).cast(kind).alias(c) for c in ("key", "value"))) for part in parts]
     context = mapping.Context(job.maps[0].input_format, job.reduces[0].output_format, len(job.reduces), False, max(len(t.output_paths) for t in job.reduces))
-    out = reducing.run_reducer(mapping.union_of(*parts), [t.reducer for t in job.reduces], context, job.incremental, kind)
+    out = reducing.run_reducer(mapping.union_of(*parts), [t.reducer for t in job.reduces], context, job.incremental, kind, count_keys=True)
+    keys = F.when(F.col("channel") == reducing.KEYS, F.col("value").cast("string").cast("long")).otherwise(0)
+    out = job.counters.counted(out, "reduce_keys", F.sum(keys)).where(F.col("channel") != reducing.KEYS)
     return job.counters.counted(out, "reduce_output")
 
 
+def check_paths(spark: SparkSession, job: Job) -> None:
+    """Inputs must match files. The folder of every output must exist, or is made where ``force_mkdir`` says so."""
+    for task in job.maps:
+        matching(spark, list(task.input_path) if isinstance(task.input_path, tuple) else task.input_path)
+    outputs = [t.output_path for t in job.maps if job.map_only] + [path for t in job.reduces for path in t.output_paths]
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for output in dict.fromkeys(outputs):
+        folder = path_of(output).getParent()
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(folder):
+            if not job.force_mkdir:
+                raise FileNotFoundError(f"the folder of output path {output} does not exist")
+            files.mkdirs(folder)
+
+
+def _write(outputs: dict[tuple[str, str], list], df: DataFrame) -> None:
+    """Write ``df`` to outputs, each (format, path) with the conditions on its rows: a pass for each format."""
+    for kind in dict.fromkeys(kind for kind, _ in outputs):
+        paths = [path for of, path in outputs if of == kind]
+        at = F.lit(None).cast("int")
+        for number, path in enumerate(paths):
+            for condition in outputs[kind, path]:
+                at = F.when(condition, number).otherwise(at)
+        log.info("%s output to %s", kind, ", ".join(paths))
+        formats.write_routed(df.withColumn("at", at).where("at is not null").select("at", "key", "value"), kind, paths)
+
+
 def run(spark: SparkSession, job: Job) -> dict[str, int]:
     """Run a job, write its outputs and return its counters.
 
-    Tasks that share an output path add part files to it; each other path is overwritten.
+    Tasks that share an output path add part files to it; each other path is overwritten. Counters by map task:
+    ``input_shards`` (files), ``map_input`` and ``map_output`` with its number; of all reducers: ``reduce_keys``
+    and ``reduce_output``.
     """
+    check_paths(spark, job)
+    outputs: dict[tuple[str, str], list] = {}
     if job.map_only:
-        groups: dict[tuple[str, str], list[DataFrame]] = {}
-        for task in job.maps:
-            groups.setdefault((task.output_format, task.output_path), []).append(mapped(spark, job, task).drop("shard"))
-        for (kind, path), parts in groups.items():
-            log.info("map-only output to %s", path)
-            formats.writer(kind)(mapping.union_of(*parts), path)
-        return job.counters.values()
-    out = reduced(spark, job).persist()
-    try:
-        outputs: dict[tuple[str, str], list] = {}
+        parts = []
+        for number, task in enumerate(job.maps):
+            parts.append(mapped(spark, job, number).withColumn("shard", F.lit(number)))
+            outputs.setdefault((task.output_format, task.output_path), []).append(F.col("shard") == number)
+        kinds = {part.schema["key"].dataType.simpleString() for part in parts}
+        if len(kinds) > 1:
+            parts = [part.select("shard", *(F.col(c).cast("binary").alias(c) for c in ("key", "value"))) for part in parts]
+        out = mapping.union_of(*parts)
+    else:
+        out = reduced(spark, job)
         for shard, task in enumerate(job.reduces):
             for channel, path in enumerate(task.output_paths):
                 outputs.setdefault((task.output_format, path), []).append((F.col("shard") == shard) & (F.col("channel") == channel))
-        for (kind, path), conditions in outputs.items():
-            wanted = conditions[0]
-            for condition in conditions[1:]:
-                wanted = wanted | condition
-            log.info("reduce output to %s", path)
-            formats.writer(kind)(out.where(wanted).select("key", "value"), path)
+    several = len({kind for kind, _ in outputs}) > 1  # passes
+    out = out.persist() if several else out
+    try:
+        _write(outputs, out)
     finally:
-        out.unpersist()
+        if several:
+            out.unpersist()
     return job.counters.values()

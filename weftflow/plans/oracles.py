@@ -51,6 +51,13 @@ def hash_sql(name: str, column: str) -> str:
     raise KeyError(name)
 
 
+def turned(number: str, size: int) -> str:
+    """The hex digits of a number's bytes, the lowest first."""
+    digits = f"lpad(upper(to_hex(({number})::UBIGINT)), {2 * size}, '0')"
+    return "(" + " || ".join(f"substr({digits}, {2 * k + 1}, 2)" for k in reversed(range(size))) + ")"
+
+
+PART_WORDS = f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS.replace('text', 'p_name')}) AS word FROM part) GROUP BY word"
 _SHARD = hash_sql("js", "word") + " % 4"
 
 ORACLES: dict[str, str] = {
@@ -90,7 +97,7 @@ ORACLES: dict[str, str] = {
     "set_except_all": "SELECT c_nationkey AS key FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "topk_per_shard": """SELECT shard, nth, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT (l_suppkey % 4)::INT AS shard, l_orderkey, l_linenumber, l_extendedprice,
         row_number() OVER (PARTITION BY l_suppkey % 4 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber)::INT AS nth FROM lineitem) WHERE nth <= 3""",
-    "range_total_order": "SELECT o_totalprice, o_orderkey FROM orders",
+    "range_total_order": "SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys, 0::BIGINT AS rows_out_of_order, 0::BIGINT AS shards_out_of_order FROM orders",
     "multi_pass": "SELECT n_name AS word, 3 * count(*) AS n FROM nation GROUP BY 1",
     **{f"hash_{name}": f"SELECT p_partkey, {hash_sql(name, 'p_name')} AS hash FROM part" for name in (*_STEPS, "rs", "ap", "md5_64")},
     "split_set": f"SELECT doc_id, len(list_distinct({_WORDS})) AS n, array_to_string(list_sort(list_distinct({_WORDS})), ' ') AS words FROM documents",
@@ -102,6 +109,24 @@ ORACLES: dict[str, str] = {
         FROM (SELECT o_orderkey, o_custkey, upper(printf('%08x', (4294967296 - o_custkey) % 4294967296)) AS h FROM orders)""",
     "reducer_start_flush_lines": f"""SELECT s::INT AS shard, line AS value FROM range(4) r(s), (VALUES ('start'), ('flush')) v(line) UNION ALL
         SELECT ({hash_sql("js", "event_type")} % 4)::INT, event_type || ' ' || count(*) FROM events GROUP BY event_type""",
+    "random_numbers": """SELECT count(*) AS n, true AS unit_in_range, true AS whole_in_range, true AS unit_centred, true AS all_wholes, true AS same_for_a_seed,
+        5000 AS tick FROM part""",
+    "printf_c": """SELECT p_partkey, lpad(p_size::VARCHAR, 5, '0') || '|' || (-p_size)::VARCHAR || '|' || rpad(p_partkey::VARCHAR, 12, ' ') || '|' || lower(to_hex(p_size)) || '|'
+        || ((18446744073709551616::HUGEINT - p_partkey) % 18446744073709551616::HUGEINT)::VARCHAR || '|' || ((4294967296 - p_size) % 4294967296)::VARCHAR || '|' || chr((p_size + 64)::INT) || '|' || substr(p_brand, 1, 3) || '|100%' AS line FROM part""",
+    "codec_types": f"""SELECT o_orderkey, {turned("(4294967296 - o_custkey) % 4294967296", 4)} AS int32_bytes, true AS int32_back,
+        {turned("4294967295 - o_orderkey", 4)} AS uint32_bytes, true AS uint32_back, lpad((4294967295 - o_orderkey)::VARCHAR, 10, '0') AS uint32_key, true AS uint32_key_back,
+        {turned("(18446744073709551616::HUGEINT - o_orderkey::HUGEINT * 10000000000) % 18446744073709551616::HUGEINT", 8)} AS int64_bytes, true AS int64_back,
+        {turned("18446744073709551615::HUGEINT - o_orderkey", 8)} AS uint64_bytes, true AS uint64_back, (18446744073709551615::HUGEINT - o_orderkey)::VARCHAR AS uint64_key, true AS uint64_key_back
+        FROM orders""",
+    "strict_lines": """SELECT CASE WHEN strlen(p_name) < 23 THEN p_name ELSE '' END AS value, sum(CASE WHEN strlen(p_name) < 23 THEN 1 ELSE (strlen(p_name) + 23) // 23 END)::BIGINT AS n
+        FROM part GROUP BY 1""",
+    "job_by_name": f"SELECT word || ' ' || n AS value FROM ({PART_WORDS})",
+    "job_incremental": f"SELECT word || ' ' || n AS value FROM ({PART_WORDS})",
+    "job_contexts": "SELECT 'map text text 3 False; reduce text 1' AS value",
+    "key_order": f"""SELECT shard, key, row_number() OVER (PARTITION BY shard ORDER BY key COLLATE C) AS nth
+        FROM (SELECT DISTINCT p_type AS key, ({hash_sql("js", "p_type")} % 3)::INT AS shard FROM part)""",
+    "model_to_shards": "SELECT c_custkey::VARCHAR AS key, n_name AS value FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "state_over_files": "SELECT 3::BIGINT AS files, count(*) AS lines FROM customer",
     "text_roundtrip": "SELECT p_name AS value FROM part",
     "text_offsets": "SELECT count(*) AS n, count(*) AS keys, sum(strlen(p_name) + 1)::BIGINT AS bytes FROM part",
     "protofile_roundtrip": "SELECT p_partkey::VARCHAR AS key, p_name AS value FROM part",

@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, hashing, rng, strings
-from ..operators import mapping, reducing, routing
+from ..operators import mapping, reducing, registry, routing
 from ..operators.counters import Counters
 from ..sources import formats, records, text
 from ..sources.paths import scratch
 from ..streaming import incremental
+from . import job
 from .oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,8 +39,13 @@ def word_array() -> Column:
     return strings.split_using("text", " ")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, text`` of all documents, on all cores even where they are one split."""
+    return routing.spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.explode(word_array()).alias("word"))
+    return texts(spark, sf_dir).select(F.explode(word_array()).alias("word"))
 
 
 # word counts
@@ -86,7 +92,7 @@ class SumFold(reducing.IncrementalReducer):
 
 
 def _as_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("value"))  # dealt by run_mapper
 
 
 def _counts(reduced: DataFrame) -> DataFrame:
@@ -116,15 +122,15 @@ def wordcount_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def wordcount_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold as a Column expression, over counts that each document combines first."""
-    pairs = table(spark, sf_dir, "documents").select("doc_id", F.explode(word_array()).alias("key")).groupBy("key", F.pmod("doc_id", F.lit(64)).alias("part"))
-    folded = reducing.fold(pairs.agg(F.count("*").alias("value")), F.lit(0).cast("long"), lambda state, value: state + value)
+    """A fold as a Column expression; the states of a key's parts are combined."""
+    pairs = mapping.emit(texts(spark, sf_dir), F.explode(word_array()), F.lit(1).cast("long"))
+    folded = reducing.fold(pairs, F.lit(0).cast("long"), lambda state, value: state + value, combine=lambda a, b: a + b)
     return folded.select(F.col("key").alias("word"), F.col("value").alias("n"))
 
 
 @query
 def bigram_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    array = table(spark, sf_dir, "documents").select(word_array().alias("w"))
+    array = texts(spark, sf_dir).select(word_array().alias("w"))
     pairs = array.where(F.size("w") > 1).select(F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda a, b: F.concat(a, F.lit(" "), b)).alias("pairs"))
     return pairs.select(F.explode("pairs").alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
 
@@ -199,7 +205,16 @@ def topk_per_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def range_total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.by_range(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), 8, "o_totalprice", "o_orderkey")
+    """A total order over eight shards, and how often it is broken: within shards and between neighbours."""
+    row = F.struct("o_totalprice", "o_orderkey")
+    dealt = routing.by_range(table(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), 8, "o_totalprice", "o_orderkey")
+    placed = dealt.select("o_orderkey", row.alias("row"), F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("row").over(Window.partitionBy("shard").orderBy("at"))
+    shards = placed.withColumn("broken", F.coalesce(before > F.col("row"), F.lit(False))).groupBy("shard")
+    shards = shards.agg(F.min("row").alias("least"), F.max("row").alias("most"), F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.count_if("broken").alias("broken"))
+    # one row for each of the eight shards
+    gap = F.coalesce(F.lag("most").over(Window.orderBy("shard")) > F.col("least"), F.lit(False))
+    return shards.withColumn("gap", gap).agg(F.sum("n").alias("n"), F.sum("keys").alias("keys"), F.sum("broken").alias("rows_out_of_order"), F.count_if("gap").alias("shards_out_of_order"))
 
 
 # reductions
@@ -356,7 +371,7 @@ QUERIES |= {f"hash_{name}": _hash_query(name) for name in hashing.HASHES}
 
 @query
 def split_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = table(spark, sf_dir, "documents").select("doc_id", strings.split_to_set("text", " ").alias("set"))
+    sets = texts(spark, sf_dir).select("doc_id", strings.split_to_set("text", " ").alias("set"))
     return sets.select("doc_id", F.size("set").cast("long").alias("n"), strings.join_strings("set").alias("words"))
 
 
@@ -391,8 +406,44 @@ def encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def random_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No oracle: random, but the same for a seed and a layout."""
-    return table(spark, sf_dir, "part").select("p_partkey", rng.rand_double(7).alias("unit"), rng.rand_int(10, 7).alias("whole"))
+    """Random numbers are in range, spread out and the same for a seed; ticks are milliseconds of a day."""
+    drawn = table(spark, sf_dir, "part").select(rng.rand_double(7).alias("unit"), rng.rand_double(7).alias("again"), rng.rand_int(10, 8).alias("whole"), rng.tick_count(F.timestamp_seconds(F.lit(86400 * 3 + 5))).alias("tick"))
+    return drawn.agg(
+        F.count("*").alias("n"),
+        F.bool_and((F.col("unit") >= 0) & (F.col("unit") < 1)).alias("unit_in_range"),
+        F.bool_and(F.col("whole").between(0, 9)).alias("whole_in_range"),
+        (F.abs(F.avg("unit") - 0.5) < 0.1).alias("unit_centred"),
+        (F.count_distinct("whole") == 10).alias("all_wholes"),
+        F.bool_and(F.col("unit") == F.col("again")).alias("same_for_a_seed"),
+        F.max("tick").alias("tick"),
+    )
+
+
+@query
+def printf_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C conversions with flags, lengths and unsigned numbers."""
+    size = F.col("p_size").cast("int")
+    key = F.col("p_partkey").cast("long")
+    line = strings.string_printf("%05u|%i|%-12lld|%x|%lu|%u|%c|%.3s|100%%", size, -size, key, size, -key, -size, size + 64, F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", line.alias("line"))
+
+
+@query
+def codec_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and sortable keys of all four integer types, there and back."""
+    key = F.col("o_orderkey").cast("decimal(20,0)")
+    numbers = {
+        "int32": (-F.col("o_custkey")).cast("int"),
+        "uint32": F.lit(4294967295) - F.col("o_orderkey"),
+        "int64": F.col("o_orderkey").cast("long") * -10_000_000_000,
+        "uint64": F.lit("18446744073709551615").cast("decimal(20,0)") - key,
+    }
+    columns = []
+    for kind, x in numbers.items():
+        columns += [F.hex(codec.encode(x, kind)).alias(f"{kind}_bytes"), (codec.decode(codec.encode(x, kind), kind) == x).alias(f"{kind}_back")]
+        if kind.startswith("uint"):
+            columns += [codec.to_key(x, kind).alias(f"{kind}_key"), (codec.from_key(codec.to_key(x, kind), kind) == x).alias(f"{kind}_key_back")]
+    return table(spark, sf_dir, "orders").select("o_orderkey", *columns)
 
 
 # files
@@ -443,6 +494,147 @@ def per_file_hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.agg(F.count("*").alias("files"), F.sum(F.col("value").cast("long")).alias("lines"))
 
 
+@query
+def strict_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines through a buffer of 24 bytes: longer ones become as many empty values as buffers they fill."""
+    path = scratch(spark, "strict")
+    text.write_text(table(spark, sf_dir, "part").select(F.col("p_name").alias("value")), path)
+    return text.read_text(spark, path, strict=True, max_line=24).groupBy("value").agg(F.count("*").alias("n"))
+
+
+# jobs
+
+
+@registry.mapper("weftflow.words")
+class WordsMapper(mapping.Mapper):
+    def map(self, key, value):
+        for word in value.split(" "):
+            if word:
+                self.output(word, "1")
+
+
+@registry.batch_reducer("weftflow.sums")
+class SumLines(reducing.BatchReducer):
+    """Text output holds values only, so the word goes into the value."""
+
+    def reduce(self, key, values):
+        self.output(key, f"{key} {sum(map(int, values))}")
+
+
+@registry.incremental_reducer("weftflow.sums")
+class SumLinesFold(SumFold):
+    def end_reduce(self, key, state):
+        self.output(key, f"{key} {state}")
+
+
+def _job(spark: SparkSession, sf_dir: str, mapper: str, reducer: str, column: str, *switches: str) -> DataFrame:
+    """The output of a textual job over a column of ``part``, written as a text file."""
+    folder = scratch(spark, "job")
+    text.write_text(table(spark, sf_dir, "part").select(F.col(column).alias("value")), f"{folder}/in")
+    found = job.parse([f"--mapreduce_map_io={{a,b}}:{mapper}:text:{folder}/in/part-*:/none", f"--mapreduce_reduce_io={{a,b,c}}:{reducer}:/none:text:{folder}/out", *switches])
+    job.run(spark, found.job())
+    return spark.read.schema("value string").text(f"{folder}/out")
+
+
+@query
+def job_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job in textual form: classes by name, three shards, one output path."""
+    return _job(spark, sf_dir, "weftflow.words", "weftflow.sums", "p_name")
+
+
+@query
+def job_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in incremental mode, where the name means another class."""
+    return _job(spark, sf_dir, "weftflow.words", "weftflow.sums", "p_name", "--mapreduce_incremental_mode")
+
+
+@registry.mapper("weftflow.contexts")
+class ContextMapper(mapping.Mapper):
+    def start(self):
+        c = self.context
+        self.output(f"map {c.input_format} {c.output_format} {c.shards} {c.map_only}", "1")
+
+    def map(self, key, value): ...
+
+
+@registry.batch_reducer("weftflow.contexts")
+class ContextReducer(reducing.BatchReducer):
+    def reduce(self, key, values):
+        self.output(key, f"{key}; reduce {self.context.output_format} {self.context.channels}")
+
+
+@query
+def job_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What mappers and reducers may ask about their job."""
+    return _job(spark, sf_dir, "weftflow.contexts", "weftflow.contexts", "p_brand")
+
+
+class NumberedFold(SumFold):
+    """Says at which place in its shard each key is finished."""
+
+    def start(self):
+        self.at = 0
+
+    def end_reduce(self, key, state):
+        self.at += 1
+        self.output(key, str(self.at))
+
+
+@query
+def key_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds end in byte order of their keys, shard by shard."""
+    pairs = mapping.emit(table(spark, sf_dir, "part"), F.col("p_type"), F.lit("1"))
+    folded = reducing.run_reducer(routing.with_shard(pairs, 3), NumberedFold, mapping.Context(shards=3), incremental=True)
+    return folded.select("shard", "key", F.col("value").cast("long").alias("nth"))
+
+
+class ModelMapper(mapping.Mapper):
+    """Sends each row to all shards, under a key that sorts before all others."""
+
+    def map(self, key, value):
+        self.output_to_all_shards("", f"{key} {value}")
+
+
+class ModelReducer(reducing.BatchReducer):
+    """Holds the model that it gets first, and applies it to the keys after it."""
+
+    def reduce(self, key, values):
+        if key == "":
+            self.model = dict(value.split(" ", 1) for value in values)
+        else:
+            for value in values:
+                self.output(key, self.model[value])
+
+
+@query
+def model_to_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State that a mapper sends to every reducer before its keys: nations, which reducers look customers up in."""
+    context = mapping.Context(shards=4)
+    nations = mapping.emit(table(spark, sf_dir, "nation"), F.col("n_nationkey").cast("string"), F.col("n_name"))
+    customers = mapping.emit(table(spark, sf_dir, "customer"), F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"))
+    pairs = mapping.union_of(mapping.run_mapper(nations, ModelMapper, context), routing.with_shard(customers, 4).select("shard", "key", "value"))
+    return reducing.run_reducer(pairs, ModelReducer, context).select("key", "value")
+
+
+@query
+def state_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapper object serves all files of a task: lines of all files so far, after each of three files."""
+    path = scratch(spark, "state")
+    text.write_text(table(spark, sf_dir, "customer").select(F.col("c_name").alias("value")).repartition(3), path)
+    mapped = mapping.run_mapper(text.read_text(spark, path, by_file=True, tasks=1), RunningMapper, mapping.Context(map_only=True), by_file=True)
+    return mapped.agg(F.count("*").alias("files"), F.max(F.col("value").cast("long")).alias("lines"))
+
+
+class RunningMapper(mapping.Mapper):
+    lines = 0
+
+    def map(self, key, value):
+        self.lines += 1
+
+    def flush(self):
+        self.output(self.current_file, str(self.lines))
+
+
 @query
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = Counters()
@@ -457,8 +649,7 @@ def stream_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incremental reduction as a streaming query that ends when its input does."""
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(_stream_input(spark, events))
-    name = f"fold_{id(stream)}"
-    return incremental.fold_stream(stream.select(F.col("event_type").alias("key")), scratch(spark, "state"), F.count("*").alias("n"), table=name)
+    return incremental.fold_stream(stream.select(F.col("event_type").alias("key")), scratch(spark, "state"), F.count("*").alias("n"))
 
 
 def _stream_input(spark: SparkSession, df: DataFrame) -> str:

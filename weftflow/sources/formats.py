@@ -9,18 +9,25 @@ from pyspark.sql import functions as F
 
 from . import records, text
 
-#: Readers by name: (spark, patterns, by_file) to ``key, value, file``.
+#: Readers by name: (spark, patterns, by_file, **options) to ``key, value, file``.
 READERS: dict[str, Callable[..., DataFrame]] = {}
 #: Writers by name: (frame with key and value, path).
 WRITERS: dict[str, Callable[[DataFrame, str], None]] = {}
+#: Writers to several paths in one pass: (frame with at, key and value, paths).
+ROUTED: dict[str, Callable[[DataFrame, list[str]], None]] = {}
 
 
 def register_reader(name: str, read: Callable[..., DataFrame]) -> None:
     READERS[name] = read
 
 
-def register_writer(name: str, write: Callable[[DataFrame, str], None]) -> None:
+def register_writer(name: str, write: Callable[[DataFrame, str], None], routed: Callable[[DataFrame, list[str]], None] | None = None) -> None:
+    """A format's writer; without a ``routed`` one, several paths are several passes."""
     WRITERS[name] = write
+    if routed is None:
+        ROUTED.pop(name, None)
+    else:
+        ROUTED[name] = routed
 
 
 def reader(name: str) -> Callable[..., DataFrame]:
@@ -36,19 +43,31 @@ def writer(name: str) -> Callable[[DataFrame, str], None]:
     return WRITERS[name]
 
 
-def _records(spark: SparkSession, patterns: str | list[str], by_file: bool = False) -> DataFrame:
-    return records.read(spark, patterns)
+def _records(spark: SparkSession, patterns: str | list[str], by_file: bool = False, **options) -> DataFrame:
+    return records.read(spark, patterns, by_file=by_file, tasks=options.get("tasks"))
 
 
-def _text(spark: SparkSession, patterns: str | list[str], by_file: bool = False) -> DataFrame:
-    return text.read_text(spark, patterns, by_file=by_file)
+def _text(spark: SparkSession, patterns: str | list[str], by_file: bool = False, **options) -> DataFrame:
+    return text.read_text(spark, patterns, by_file=by_file, **options)
 
 
 register_reader("text", _text)
-register_writer("text", lambda df, path: text.write_text(df, path))
+register_writer("text", lambda df, path: text.write_text(df, path), lambda df, paths: text.write_routed(df, paths))
 for _name in ("protofile", "recordio"):  # two names of one format
     register_reader(_name, _records)
-    register_writer(_name, lambda df, path: records.write(df, path))
+    register_writer(_name, lambda df, path: records.write(df, path), lambda df, paths: records.write_routed(df, paths))
+
+
+def write_routed(df: DataFrame, format_name: str, paths: list[str]) -> None:
+    """Write the rows of ``df(at, key, value)`` to the path of number ``at``: in one pass, if the format can."""
+    write = writer(format_name)
+    if len(paths) == 1:
+        write(df.select("key", "value"), paths[0])
+    elif format_name in ROUTED:
+        ROUTED[format_name](df, paths)
+    else:
+        for number, path in enumerate(paths):
+            write(df.where(F.col("at") == number).select("key", "value"), path)
 
 
 def checked_channels(df: DataFrame, channels: int) -> DataFrame:
@@ -59,17 +78,8 @@ def checked_channels(df: DataFrame, channels: int) -> DataFrame:
 
 
 def write_channels(df: DataFrame, format_name: str, paths: list[str]) -> None:
-    """Write the rows of each ``channel`` to the path of its number; every path is made, even if empty.
-
-    Each channel is a pass; :func:`write_by_channel` writes text in one.
-    """
-    write = writer(format_name)
-    df = checked_channels(df, len(paths))
-    if len(paths) == 1:
-        write(df, paths[0])
-        return
-    for number, path in enumerate(paths):
-        write(df.where(F.col("channel") == number), path)
+    """Write the rows of each ``channel`` to the path of its number; every path is made, even if empty."""
+    write_routed(checked_channels(df, len(paths)).withColumnRenamed("channel", "at"), format_name, paths)
 
 
 def write_by_channel(df: DataFrame, channels: int, path: str) -> None:

@@ -12,16 +12,22 @@ import json
 import struct
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
+from typing import Any
 
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from .paths import matching, opened, plain
+from .text import ROW_BYTES, ROWS, packed, task_count
 
 SCHEMA = "key binary, value binary, file string"
 LARGEST = 64 << 20
+_ARROW = pa.schema([("key", pa.binary()), ("value", pa.binary()), ("file", pa.string())])
 
 
 def _varint(n: int) -> bytes:
@@ -89,69 +95,99 @@ def read_records(stream) -> Iterator[tuple[bytes, bytes]]:
         yield unpack(message)
 
 
-class OneFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class Files(InputPartition):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
 
 
 class RecordReader(DataSourceReader):
+    """A file is a task; by file, tasks may have several, and each begins with a row of nulls."""
+
     def __init__(self, options: dict):
         self.files = json.loads(options["files"])
-
-    def partitions(self) -> list[OneFile]:
-        return [OneFile(path) for path in self.files]
-
-    def read(self, partition: OneFile) -> Iterator[tuple]:
-        files, path = opened(partition.path)
-        name = plain(partition.path)
-        with files.open_input_stream(path, buffer_size=1 << 20) as stream:
-            for key, value in read_records(stream):
-                yield key, value, name
+        self.tasks = int(options.get("tasks", 0))
+
+    def partitions(self) -> list[Files]:
+        if self.tasks:
+            return [Files([path for path, _ in some]) for some in packed(self.files, self.tasks)]
+        return [Files([path]) for path, _ in self.files]
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            columns = zip(*rows)
+            out = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, _ARROW)], schema=_ARROW)
+            rows.clear()
+            return out
+
+        for where in partition.paths:
+            files, path = opened(where)
+            name = plain(where)
+            if self.tasks:
+                rows.append((None, None, name))
+            with files.open_input_stream(path, buffer_size=1 << 20) as stream:
+                for key, value in read_records(stream):
+                    rows.append((key, value, name))
+                    size += len(key) + len(value)
+                    if len(rows) >= ROWS or size >= ROW_BYTES:
+                        yield batch()
+                        size = 0
+        if rows:
+            yield batch()
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    temporary: str | None
+    """The temporary file of each path that a task wrote to, by the path's number."""
+
+    temporary: dict[int, str]
     part: int
 
 
 class RecordWriter(DataSourceWriter):
-    """Tasks write files under names of their own; the driver gives those that count their final names."""
+    """Tasks write files under names of their own; the driver gives those that count their final names.
+
+    Rows say by number which of several paths they go to.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path, self.overwrite = options["path"], overwrite
+        self.paths, self.overwrite = json.loads(options["paths"]), overwrite
 
     def write(self, rows: Iterator) -> Written:
-        files, folder = opened(self.path)
         part = TaskContext.get().partitionId()
-        name = f"{folder}/.part-{part:05d}-{uuid.uuid4().hex}"
-        files.create_dir(folder, recursive=True)
-        with files.open_output_stream(name, buffer_size=1 << 20) as out:
-            for row in rows:
-                key, value = (x.encode() if isinstance(x, str) else bytes(x or b"") for x in (row[0], row[1]))
-                out.write(pack(key, value))
-        return Written(name, part)
+        names: dict[int, str] = {}
+        streams: dict[int, Any] = {}
+        with ExitStack() as stack:
+            for at, *pair in rows:
+                if at not in streams:
+                    files, folder = opened(self.paths[at])
+                    names[at] = f"{folder}/.part-{part:05d}-{uuid.uuid4().hex}"
+                    files.create_dir(folder, recursive=True)
+                    streams[at] = stack.enter_context(files.open_output_stream(names[at], buffer_size=1 << 20))
+                streams[at].write(pack(*(x.encode() if isinstance(x, str) else bytes(x or b"") for x in pair)))
+        return Written(names, part)
 
     def commit(self, messages: list) -> None:
         from pyarrow.fs import FileSelector
 
-        files, folder = opened(self.path)
-        files.create_dir(folder, recursive=True)
-        kept = {m.temporary for m in messages if m}
-        if self.overwrite:
-            for info in files.get_file_info(FileSelector(folder)):
-                if info.is_file and info.path not in kept:
-                    files.delete_file(info.path)
-        batch = "" if self.overwrite else f"-{uuid.uuid4().hex[:8]}"
-        for message in messages:
-            if message:
-                files.move(message.temporary, f"{folder}/part-{message.part:05d}{batch}")
+        for at, path in enumerate(self.paths):
+            files, folder = opened(path)
+            files.create_dir(folder, recursive=True)
+            written = {m.temporary[at]: m.part for m in messages if m and at in m.temporary}
+            if self.overwrite:
+                for info in files.get_file_info(FileSelector(folder)):
+                    if info.is_file and info.path not in written:
+                        files.delete_file(info.path)
+            batch = "" if self.overwrite else f"-{uuid.uuid4().hex[:8]}"
+            for temporary, part in written.items():
+                files.move(temporary, f"{folder}/part-{part:05d}{batch}")
 
     def abort(self, messages: list) -> None:
-        files, _ = opened(self.path)
         for message in messages:
-            if message:
-                files.delete_file(message.temporary)
+            for at, temporary in message.temporary.items() if message else ():
+                opened(self.paths[at])[0].delete_file(temporary)
 
 
 class RecordFiles(DataSource):
@@ -169,11 +205,15 @@ class RecordFiles(DataSource):
         return RecordWriter(self.options, overwrite)
 
 
-def read(spark: SparkSession, patterns: str | list[str], key: Callable[[Column], Column] | None = None, value: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``key, value, file`` of each record; ``key`` and ``value`` may decode the bytes to typed columns."""
+def read(spark: SparkSession, patterns: str | list[str], key: Callable[[Column], Column] | None = None, value: Callable[[Column], Column] | None = None, by_file: bool = False, tasks: int | None = None) -> DataFrame:
+    """``key, value, file`` of each record; ``key`` and ``value`` may decode the bytes to typed columns.
+
+    ``by_file`` packs the files into ``tasks`` and begins each with a row of nulls, as per-file hooks need.
+    """
     spark.dataSource.register(RecordFiles)
-    files = json.dumps([f.path for f in matching(spark, patterns)])
-    df = spark.read.format("weftflow_records").option("files", files).load()
+    found = matching(spark, patterns)
+    options = {"files": json.dumps([(f.path, f.size) for f in found]), "tasks": (tasks or task_count(spark, found)) if by_file else 0}
+    df = spark.read.format("weftflow_records").options(**options).load()
     if key is not None:
         df = df.withColumn("key", key(df["key"]))
     return df if value is None else df.withColumn("value", value(df["value"]))
@@ -181,5 +221,11 @@ def read(spark: SparkSession, patterns: str | list[str], key: Callable[[Column],
 
 def write(df: DataFrame, path: str, key: str = "key", value: str = "value", mode: str = "overwrite") -> None:
     """One file per partition, rows in their order; nulls are empty."""
+    write_routed(df.select(F.lit(0).alias("at"), df[key].alias("key"), df[value].alias("value")), [path], mode)
+
+
+def write_routed(df: DataFrame, paths: list[str], mode: str = "overwrite") -> None:
+    """One pass over ``df(at, key, value)``: rows go to the path of number ``at``; every path is made."""
     df.sparkSession.dataSource.register(RecordFiles)
-    df.select(df[key].cast("binary").alias("key"), df[value].cast("binary").alias("value")).write.format("weftflow_records").mode(mode).option("path", path).save()
+    rows = df.select("at", F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"))
+    rows.write.format("weftflow_records").mode(mode).option("paths", json.dumps(paths)).save()
