@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_replay, decontaminate, exact_dedup, language, pii, quality, secret_ledger, simhash, token_store, url_filter
+from . import bpe_replay, decontaminate, exact_dedup, language, pii, quality, secret_ledger, simhash, span_oracles, token_store, url_filter
 from .common import new_path
 
 
@@ -133,5 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op5_pii": span_oracles.personal(),
     "op8_url_filter": url_filter.ORACLE_SQL,
+    "op10_secret_ledger": span_oracles.secrets(),
 }
