@@ -22,8 +22,8 @@ from .oracles import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-#: Tables of up to so many rows are broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Tables of up to so many rows and bytes of text are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def query(f: Query) -> Query:
@@ -338,9 +338,10 @@ def reduce_side_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def broadcast_join_all_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The small side goes to all tasks if it is small (it is counted), else both sides are shuffled."""
+    """The small side goes to all tasks if it is small (its rows and bytes are counted), else both are shuffled."""
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    if nations.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    size = nations.agg(F.count("*").alias("rows"), F.sum(F.octet_length("n_name")).alias("bytes")).first()
+    if size.rows <= BROADCAST_ROWS and (size.bytes or 0) <= BROADCAST_BYTES:
         nations = F.broadcast(nations)
     per_nation = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
     return per_nation.join(nations, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.sum("n").alias("n"))
