@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..operators import mapping, reducing, registry
 from ..operators.counters import Counters
@@ -194,10 +195,10 @@ def parse(arguments: list[str]) -> Options:
 def mapped(spark: SparkSession, job: Job, number: int) -> DataFrame:
     """``shard, key, value`` of the map task of this number, with its counters."""
     task = job.maps[number]
-    kind = "string" if task.input_format == "text" else "binary"
     context = mapping.Context(task.input_format, task.output_format or (job.reduces[0].output_format if job.reduces else ""), len(job.reduces), job.map_only)
     options = {"tasks": task.tasks} | ({"strict": True, "max_line": job.max_line} if job.max_line and task.input_format == "text" else {})
     read = formats.reader(task.input_format)(spark, list(task.input_path) if isinstance(task.input_path, tuple) else task.input_path, by_file=True, **options)
+    kind = "binary" if isinstance(read.schema["value"].dataType, BinaryType) else "string"
     # rows without a key mark the files
     read = job.counters.counted(read, f"map_input_{number}", F.count("key"))
     read = job.counters.counted(read, f"input_shards_{number}", F.count_if(F.col("key").isNull()))
@@ -208,7 +209,7 @@ def mapped(spark: SparkSession, job: Job, number: int) -> DataFrame:
 def reduced(spark: SparkSession, job: Job) -> DataFrame:
     """``shard, channel, key, value`` of all reducers of a job."""
     parts = [mapped(spark, job, number) for number in range(len(job.maps))]
-    kind = "binary" if any(task.input_format != "text" for task in job.maps) else "string"
+    kind = "binary" if any(isinstance(part.schema["key"].dataType, BinaryType) for part in parts) else "string"
     parts = [part.select("shard", *(F.col(c).cast(kind).alias(c) for c in ("key", "value"))) for part in parts]
     context = mapping.Context(job.maps[0].input_format, job.reduces[0].output_format, len(job.reduces), False, max(len(t.output_paths) for t in job.reduces))
     out = reducing.run_reducer(mapping.union_of(*parts), [t.reducer for t in job.reduces], context, job.incremental, kind, count_keys=True)

@@ -123,6 +123,10 @@ ORACLES: dict[str, str] = {
     "job_by_name": f"SELECT word || ' ' || n AS value FROM ({PART_WORDS})",
     "job_incremental": f"SELECT word || ' ' || n AS value FROM ({PART_WORDS})",
     "job_contexts": "SELECT 'map text text 3 False; reduce text 1' AS value",
+    "job_own_formats": "SELECT '1' AS value FROM (SELECT unnest(list_filter(string_split(p_brand, ' '), lambda x: x <> '')) AS word FROM part)",
+    "job_channels": f"SELECT 0 AS channel, word AS value FROM ({PART_WORDS}) UNION ALL SELECT 1, word || ' ' || n FROM ({PART_WORDS})",
+    "registry_default": PART_WORDS,
+    "discard_rest": "SELECT DISTINCT p_brand AS key, lower(p_brand) AS value FROM part",
     "key_order": f"""SELECT shard, key, row_number() OVER (PARTITION BY shard ORDER BY key COLLATE C) AS nth
         FROM (SELECT DISTINCT p_type AS key, ({hash_sql("js", "p_type")} % 3)::INT AS shard FROM part)""",
     "model_to_shards": "SELECT c_custkey::VARCHAR AS key, n_name AS value FROM customer JOIN nation ON c_nationkey = n_nationkey",

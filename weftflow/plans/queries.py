@@ -549,6 +549,74 @@ def job_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _job(spark, sf_dir, "weftflow.words", "weftflow.sums", "p_name", "--mapreduce_incremental_mode")
 
 
+def _values_reader(spark: SparkSession, patterns: str | list[str], by_file: bool = False, **options) -> DataFrame:
+    return text.read_values(spark, patterns).select(F.lit("").alias("key"), "value", "file")
+
+
+def _loud_writer(df: DataFrame, path: str) -> None:
+    text.write_text(df.select(F.upper(F.col("value").cast("string")).alias("value")), path)
+
+
+formats.register_reader("weftflow.values", _values_reader)
+formats.register_writer("weftflow.loud", _loud_writer)
+
+
+@query
+def job_own_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map-only job whose reader and writer are registered by name; its second run replaces what the first wrote."""
+    folder = scratch(spark, "own")
+    text.write_text(table(spark, sf_dir, "part").select(F.col("p_brand").alias("value")), f"{folder}/in")
+    made = job.Job((job.MapTask("weftflow.words", f"{folder}/in", "weftflow.values", "weftflow.loud", f"{folder}/out"),))
+    for _ in range(2):
+        job.run(spark, made)
+    return spark.read.schema("value string").text(f"{folder}/out")
+
+
+@registry.batch_reducer("weftflow.channels")
+class ChannelsReducer(reducing.BatchReducer):
+    """Keys go to the first channel, and the number of each key's values to the second."""
+
+    def reduce(self, key, values):
+        self.output(key, key)
+        self.output_to_channel(1, key, f"{key} {sum(1 for _ in values)}")
+
+
+@query
+def job_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two reducers, each with a path for either of its channels, written in one pass."""
+    folder = scratch(spark, "channels")
+    text.write_text(table(spark, sf_dir, "part").select(F.col("p_name").alias("value")), f"{folder}/in")
+    reduces = tuple(job.ReduceTask("weftflow.channels", (f"{folder}/keys-{k}", f"{folder}/counts-{k}")) for k in range(2))
+    job.run(spark, job.Job((job.MapTask("weftflow.words", f"{folder}/in"),), reduces))
+    found = [spark.read.schema("value string").text([f"{folder}/{name}-{k}" for k in range(2)]).select(F.lit(c).alias("channel"), "value") for c, name in enumerate(("keys", "counts"))]
+    return found[0].unionByName(found[1])
+
+
+WITH_DEFAULT = registry.Registry("mapper with a default", default=WordsMapper)
+
+
+@query
+def registry_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry with a default gives it for every name that it doesn't have."""
+    lines = mapping.emit(table(spark, sf_dir, "part"), F.lit(""), F.col("p_name"))
+    mapped = mapping.run_mapper(lines, WITH_DEFAULT.find("nobody registered this"), mapping.Context(shards=2))
+    return mapped.groupBy(F.col("key").alias("word")).agg(F.count("*").alias("n"))
+
+
+class FirstReducer(reducing.BatchReducer):
+    """Looks at one value of each key; the others are skipped."""
+
+    def reduce(self, key, values):
+        self.output(key, next(values))
+
+
+@query
+def discard_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reducer class that stops reading a key's values, all of which are equal here."""
+    pairs = mapping.emit(table(spark, sf_dir, "part"), F.col("p_brand"), F.lower("p_brand"))
+    return reducing.run_reducer(routing.with_shard(pairs, 3), FirstReducer, mapping.Context(shards=3)).select("key", "value")
+
+
 @registry.mapper("weftflow.contexts")
 class ContextMapper(mapping.Mapper):
     def start(self):
