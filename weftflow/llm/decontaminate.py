@@ -12,8 +12,9 @@ one part more than they may have substitutions, each of them a mask.
 Around every hit the windows are verified. Windows of equal words, in however many documents they stand, are
 one passage, and a passage is compared once. It agrees with a window of an item if they agree in all words
 but the allowed number, so if for some choice of left-out offsets the hashes of all other words are equal:
-passages meet those of the benchmark by such keys. A key stands for all items that share it, so a template
-that many items and many documents have makes neither pairs of them nor copies of their words.
+passages meet those of the benchmark by such keys, and are then compared with the window that a key came from,
+word by word (by 64-bit hashes). A key stands for all items that share it, so a template that many items and
+many documents have makes neither pairs of them nor copies of their words.
 
 The result has one row per document: how many items it holds, the smallest of them and how well the best
 window agrees. Items are counted over sets of keys, each distinct set once.
@@ -40,7 +41,7 @@ from .common import Tables, bloom, joined, mark_of, without
 WINDOW = 13
 #: Offsets that a mask keeps in a window of 13 words (found by search: lossless for 2 substitutions).
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
-#: Hashes that may be broadcast: at most 64 bytes each, 64 MB.
+#: Seeds, keys and windows that may be broadcast: 8, 32 and 130 bytes each, of which there are at most 92 keys a window.
 BROADCAST_ROWS = 1_000_000
 #: Words that a window may reach over the ends of a document, where they count as unequal.
 _OVER = 2
@@ -101,21 +102,27 @@ def _pick(index: Column, values: list[int]) -> Column:
     return F.get(F.array(*map(F.lit, values)), index)
 
 
+def _window(hashes: str, start: Column) -> list[Column]:
+    """``w0`` to ``w12``: the words of a window of ``size`` words, each hashed with its offset; 0 beyond its end."""
+    return [F.when(F.lit(j) < F.col("size"), F.xxhash64(F.lit(j), F.get(hashes, start + j))).otherwise(0).alias(f"w{j}") for j in range(WINDOW)]
+
+
 def windows(hits: DataFrame, sizes: list[int]) -> DataFrame:
-    """The distinct windows around hits: ``doc_id, mark, start, size`` and the hashes ``w0`` to ``w12`` of their words."""
+    """The distinct windows around hits: ``doc_id, mark, size`` and the hashes ``w0`` to ``w12`` of their words."""
     family = [(size, mask) for size in sizes for mask in masks(size)]
     size = _pick(F.col("seed"), [n for n, _ in family])
     slide = _pick(F.col("seed"), [slides(n, mask) for n, mask in family])
     first = F.greatest(F.col("at") - slide, F.lit(0))
-    near = hits.select("doc_id", "mark", "at", size.alias("size"), first.alias("first"), F.slice("h", first + 1, F.col("at") - first + size).alias("near"))
-    starts = F.explode(F.sequence(F.lit(0), F.least(F.col("at") - F.col("first"), F.size("near") - F.col("size"))))
-    placed = near.where("size(near) >= size").select("doc_id", "mark", "first", "size", "near", starts.alias("k"))
-    held = [F.when(F.lit(j) < F.col("size"), F.xxhash64(F.lit(j), F.get("near", F.col("k") + j))).otherwise(0).alias(f"w{j}") for j in range(WINDOW)]
-    return placed.select("doc_id", "mark", (F.col("first") + F.col("k")).alias("start"), "size", *held).distinct()
+    slid = (F.col("at") - first).alias("slid")
+    near = hits.select("doc_id", "mark", slid, size.alias("size"), F.slice("h", first + 1, F.col("at") - first + size).alias("near"))
+    starts = F.explode(F.sequence(F.lit(0), F.least(F.col("slid"), F.size("near") - F.col("size"))))
+    placed = near.where("size(near) >= size").select("doc_id", "mark", "size", "near", starts.alias("k"))
+    return placed.select("doc_id", "mark", "size", *_window("near", F.col("k"))).distinct()
 
 
 def keyed(passages: DataFrame, sizes: list[int], *carry: str) -> DataFrame:
-    """A row for each choice of left-out offsets: ``size``, ``left_out``, ``key`` and the carried columns."""
+    """A row for each choice of left-out offsets: ``size``, ``left_out``, ``key``, ``w`` (all words' hashes) and the
+    carried columns."""
     codes = F.lit(None).cast("array<int>")
     for size in sizes:
         codes = F.when(F.col("size") == size, F.array(*map(F.lit, omissions(size)))).otherwise(codes)
@@ -128,7 +135,7 @@ def keyed(passages: DataFrame, sizes: list[int], *carry: str) -> DataFrame:
     for offset in (a, b):
         rest = rest.bitwiseXOR(F.coalesce(F.get("w", offset), F.lit(0)))
     left_out = (a < _NO_OFFSET).cast("int") + (b < _NO_OFFSET).cast("int")
-    return each.select(*carry, "size", left_out.alias("left_out"), F.xxhash64("size", "code", rest).alias("key"))
+    return each.select(*carry, "size", "w", left_out.alias("left_out"), F.xxhash64("size", "code", rest).alias("key"))
 
 
 def _two(*of: Column | str) -> list[Column]:
@@ -145,6 +152,9 @@ def set_of(*of: Column | str) -> list[Column]:
 class Benchmark:
     """The items' seeds, keys and sets of items, as written tables."""
 
+    #: Sizes of windows that items have.
+    sizes: list[int]
+
     def __init__(self, benchmark: DataFrame, tables: Tables, item_col: str = "item_id", item_text: str = "text"):
         items = benchmark.select(F.col(item_col).alias("item_id"), F.transform(words(F.col(item_text)), lambda w: F.xxhash64(w)).alias("h")).where("size(h) > 0")
         items = tables.write(items.distinct(), "benchmark-words")
@@ -159,15 +169,18 @@ class Benchmark:
         found = seeds(items.withColumn("length", length), self.sizes, "length").where(own)
         self.seeds = tables.write(found.select("hash").distinct(), "benchmark-seeds", read_by_result=True)
         placed = items.select("item_id", "h", length.alias("size"), F.explode(F.sequence(F.lit(0), F.size("h") - length)).alias("at"))
-        held = [F.when(F.lit(j) < F.col("size"), F.xxhash64(F.lit(j), F.get("h", F.col("at") + j))).otherwise(0).alias(f"w{j}") for j in range(WINDOW)]
-        keys = keyed(placed.select("item_id", "size", *held), self.sizes, "item_id").select("key", "item_id").distinct()
-        keys = tables.write(keys, "benchmark-keys")
+        placed = placed.select("item_id", "size", *_window("h", F.col("at")))
+        placed = tables.write(placed.withColumn("window", F.xxhash64("size", *(f"w{j}" for j in range(WINDOW)))), "benchmark-windows", read_by_result=True)
+        #: The distinct windows, which passages are compared with.
+        self.windows = placed.groupBy("window").agg(F.first(F.array(*(f"w{j}" for j in range(WINDOW)))).alias("iw"))
+        keys = tables.write(keyed(placed, self.sizes, "item_id", "window").select("key", "item_id", "window").distinct(), "benchmark-keys")
         # keys of the same items are one group
-        grouped = keys.groupBy("key").agg(*set_of("item_id"), F.min("item_id").alias("item_id"))
-        self.keys = tables.write(grouped.select("key", F.xxhash64("one", "two", "n").alias("items"), "item_id"), "benchmark-key-groups", read_by_result=True)
+        windows_of = keys.groupBy("key").agg(F.min("window").alias("window"))
+        grouped = keys.select("key", "item_id").distinct().groupBy("key").agg(*set_of("item_id"), F.min("item_id").alias("item_id")).join(windows_of, "key")
+        self.keys = tables.write(grouped.select("key", "window", F.xxhash64("one", "two", "n").alias("items"), "item_id"), "benchmark-key-groups", read_by_result=True)
         firsts = self.keys.groupBy("items").agg(F.min("key").alias("key"))
         #: Which items (``item_id``) each group (``items``) stands for.
-        self.members = tables.write(firsts.join(keys, "key").select("items", "item_id"), "benchmark-groups", read_by_result=True)
+        self.members = tables.write(firsts.join(keys, "key").select("items", "item_id").distinct(), "benchmark-groups", read_by_result=True)
 
 
 def _small(df: DataFrame, broadcast_rows: int) -> bool:
@@ -189,13 +202,18 @@ def held(documents: DataFrame, benchmark: DataFrame, tables: Tables, id_col: str
         hits = found.where(bloom(b.seeds, "hash", b.seeds.count())(F.col("hash")))
         near = F.greatest(F.col("at") - WINDOW, F.lit(0))
         # words near the hit, not the text, go through the exchange
-        hits = hits.select("doc_id", "mark", "seed", "hash", (F.col("at") - near).alias("at"), near.alias("before"), F.slice("h", near + 1, 3 * WINDOW).alias("h")).join(b.seeds, "hash", "left_semi")
+        hits = hits.select("doc_id", "mark", "seed", "hash", (F.col("at") - near).alias("at"), F.slice("h", near + 1, 3 * WINDOW).alias("h"))
+        hits = hits.join(b.seeds, "hash", "left_semi")
     placed = windows(hits, b.sizes)
-    content = _two("size", *(f"w{j}" for j in range(WINDOW)))
-    placed = tables.write(placed.select("doc_id", "mark", content[0].alias("p"), content[1].alias("q"), "size", *(f"w{j}" for j in range(WINDOW))), "passages-in-documents", read_by_result=True)
-    passages = placed.groupBy("p", "q").agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in ("size", *(f"w{j}" for j in range(WINDOW)))))
-    keys = F.broadcast(b.keys) if _small(b.keys, broadcast_rows) else b.keys
-    agree = keyed(passages, b.sizes, "p", "q", "rows").join(keys, "key")
+    hashes = ["size", *(f"w{j}" for j in range(WINDOW))]
+    p, q = _two(*hashes)
+    placed = tables.write(placed.select("doc_id", "mark", p.alias("p"), q.alias("q"), *hashes), "passages-in-documents", read_by_result=True)
+    passages = placed.groupBy("p", "q").agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in hashes))
+    small = _small(b.keys, broadcast_rows)
+    met = keyed(passages, b.sizes, "p", "q", "rows").join(F.broadcast(b.keys) if small else b.keys, "key")
+    met = met.join(F.broadcast(b.windows) if small else b.windows, "window")  # fewer than keys
+    equal = F.aggregate(F.zip_with("w", "iw", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) - (F.lit(WINDOW) - F.col("size"))
+    agree = met.where(equal >= F.col("size") - F.col("left_out"))
     best = F.max(F.struct((F.col("size") - F.col("left_out")).alias("matched"), "size")).alias("best")
     # at most 92 keys a passage, so at most as many groups of items
     verified = agree.groupBy("p", "q").agg(F.max("rows").alias("rows"), best, F.min("item_id").alias("item_id"), F.array_sort(F.collect_set("items")).alias("groups"))
