@@ -10,7 +10,14 @@ shared folder and read again, so a lost executor repeats at most part of one sta
 4. ``decontaminate``: documents that hold a benchmark item go;
 5. ``bpe``: the ids of each remaining text, and digests of the ids and of what they decode to.
 
-Nulls, empty texts, repeated rows and empty tables are handled by the operators, as their docstrings say.
+Stages 2 to 4 don't move the rows that stay: each lists the rows that go, and only rows that a Bloom filter
+of the list doesn't clear are joined with it.
+
+Nulls, empty texts, repeated rows and empty tables are handled by the operators, as their docstrings say. Ties: a
+score equal to the threshold stays; of equal texts of one length the smallest id stays, and of rows that repeat
+id and text one. Where texts that are no copies share an id, each is a document of its own. Rows with a null id
+take part, after all others in order; one row for each text of a class of near-duplicates stays where all of its
+ids are null. Stages read their input more than once, so it must be a table or a plan that gives the same rows again.
 """
 
 from __future__ import annotations
