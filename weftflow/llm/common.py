@@ -148,7 +148,8 @@ def without(df: DataFrame, listed: DataFrame, tables: Tables, id_col: str = "doc
 
     All ``rows`` of a listed document id and text go, or all but one where it ``stays``. Rows that don't pass a
     Bloom filter of the list are never moved; those that do are joined with the list itself, so the result is
-    exact whatever the filter lets through. ``listed`` has distinct keys.
+    exact whatever the filter lets through. ``listed`` has distinct keys. ``df`` is read more than once, so it must
+    be a table or a plan that gives the same rows again.
     """
     keys = listed.select(*_row_key(F.col("doc_id"), F.col("mark")), "stays", "rows")
     keys = tables.write(keys, "listed-rows", read_by_result=True)
