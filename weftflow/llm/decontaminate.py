@@ -10,14 +10,18 @@ whatever two words are substituted, one of the masks still hits at some offset.
 one part more than they may have substitutions, each of them a mask.
 
 Around every hit the windows are verified. Windows of equal words, in however many documents they stand, are
-one passage, and a passage is compared once. It agrees with a window of an item if they agree in all words
-but the allowed number, so if for some choice of left-out offsets the hashes of all other words are equal:
-passages meet those of the benchmark by such keys, and are then compared with the window that a key came from,
-word by word (by 64-bit hashes). A key stands for all items that share it, so a template that many items and
-many documents have makes neither pairs of them nor copies of their words.
+one passage, and a passage is compared once. Windows are cut into twice as many blocks as may have substitutions,
+so that half of the blocks agree whatever is substituted: passages and items' windows meet by the words of each
+half of the blocks, and are compared word by word (by 64-bit hashes).
+
+Where more than ``CROWD`` windows of items meet under one such key, as those around a template that many items
+share, they aren't compared one by one. Two windows agree if for some choice of left-out offsets all other words
+are equal, so there passages meet windows by these, one row for all items that share them, and the passage is
+compared with one of the windows. A template of many items in many documents makes neither pairs of them nor
+copies of their words.
 
 The result has one row per document: how many items it holds, the smallest of them and how well the best
-window agrees. Items are counted over sets of keys, each distinct set once.
+window agrees. Items are counted over groups of items, each distinct set of groups once.
 
 Seeds and keys are fixed-width hashes. They are broadcast only if they number at most ``BROADCAST_ROWS`` (they
 are counted); otherwise positions pass a Bloom filter of the seeds and then an exchange, and passages an
@@ -41,12 +45,13 @@ from .common import Tables, bloom, joined, mark_of, without
 WINDOW = 13
 #: Offsets that a mask keeps in a window of 13 words (found by search: lossless for 2 substitutions).
 MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 4, 7, 8))
-#: Seeds, keys and windows that may be broadcast: 8, 32 and 130 bytes each, of which there are at most 92 keys a window.
+#: Rows that may be broadcast of seeds (8 bytes each), keys (16 to 32 bytes) and windows (150 bytes; several keys each).
 BROADCAST_ROWS = 1_000_000
+#: Windows of items that are compared one by one under a key.
+CROWD = 16
 #: Words that a window may reach over the ends of a document, where they count as unequal.
 _OVER = 2
-#: Left-out offsets are coded in four bits each; this one leaves out nothing.
-_NO_OFFSET = 15
+_W = [f"w{j}" for j in range(WINDOW)]
 
 
 def words(text: Column) -> Column:
@@ -73,13 +78,16 @@ def slides(size: int, mask: tuple[int, ...]) -> int:
 
 
 def omissions(size: int) -> list[int]:
-    """Codes of all choices of offsets to leave out, up to as many as are allowed."""
-    found = []
-    for most in range(allowed(size) + 1):
-        for left_out in combinations(range(size), most):
-            a, b = [*left_out, _NO_OFFSET, _NO_OFFSET][:2]
-            found.append(a * 16 + b)
-    return found
+    """All choices of offsets to leave out, up to as many as are allowed, each a number with their bits."""
+    return [sum(1 << x for x in left_out) for most in range(allowed(size) + 1) for left_out in combinations(range(size), most)]
+
+
+def halves(size: int) -> list[int]:
+    """All choices of half of the blocks to leave out, as bits; nothing where no word may be substituted."""
+    spare = allowed(size)
+    edges = [size * k // (2 * spare) for k in range(2 * spare + 1)] if spare else []
+    blocks = [sum(1 << x for x in range(a, b)) for a, b in zip(edges, edges[1:])]
+    return [sum(some) for some in combinations(blocks, spare)]
 
 
 def seeds(df: DataFrame, sizes: list[int], *carry: str) -> DataFrame:
@@ -120,22 +128,17 @@ def windows(hits: DataFrame, sizes: list[int]) -> DataFrame:
     return placed.select("doc_id", "mark", "size", *_window("near", F.col("k"))).distinct()
 
 
-def keyed(passages: DataFrame, sizes: list[int], *carry: str) -> DataFrame:
-    """A row for each choice of left-out offsets: ``size``, ``left_out``, ``key``, ``w`` (all words' hashes) and the
-    carried columns."""
-    codes = F.lit(None).cast("array<int>")
-    for size in sizes:
-        codes = F.when(F.col("size") == size, F.array(*map(F.lit, omissions(size)))).otherwise(codes)
-    whole = F.col("w0")
-    for j in range(1, WINDOW):
-        whole = whole.bitwiseXOR(F.col(f"w{j}"))
-    each = passages.select(*carry, "size", F.array(*(f"w{j}" for j in range(WINDOW))).alias("w"), whole.alias("whole"), F.explode(codes).alias("code"))
-    a, b = F.shiftright("code", 4), F.col("code").bitwiseAND(15)
-    rest = F.col("whole")
-    for offset in (a, b):
-        rest = rest.bitwiseXOR(F.coalesce(F.get("w", offset), F.lit(0)))
-    left_out = (a < _NO_OFFSET).cast("int") + (b < _NO_OFFSET).cast("int")
-    return each.select(*carry, "size", "w", left_out.alias("left_out"), F.xxhash64("size", "code", rest).alias("key"))
+def keyed(df: DataFrame, codes: dict[int, list[int]], *carry: str) -> DataFrame:
+    """A row for each choice of left-out offsets that ``codes`` has for a window's size: ``size``, ``left_out``
+    (how many), ``key``, ``w`` (all words' hashes) and the carried columns."""
+    of = F.lit(None).cast("array<int>")
+    for size, some in codes.items():
+        of = F.when(F.col("size") == size, F.array(*map(F.lit, some))).otherwise(of)
+    each = df.select(*carry, "size", *_W, F.explode(of).alias("code"))
+    rest = F.lit(0).cast("long")
+    for j, w in enumerate(_W):
+        rest = rest.bitwiseXOR(F.when(F.col("code").bitwiseAND(1 << j) == 0, F.col(w)).otherwise(0))
+    return each.select(*carry, "size", F.array(*_W).alias("w"), F.bit_count("code").alias("left_out"), F.xxhash64("size", "code", rest).alias("key"))
 
 
 def _two(*of: Column | str) -> list[Column]:
@@ -150,41 +153,78 @@ def set_of(*of: Column | str) -> list[Column]:
 
 
 class Benchmark:
-    """The items' seeds, keys and sets of items, as written tables."""
+    """The items' seeds, windows, keys and groups, as written tables."""
 
     #: Sizes of windows that items have.
     sizes: list[int]
 
     def __init__(self, benchmark: DataFrame, tables: Tables, item_col: str = "item_id", item_text: str = "text"):
         items = benchmark.select(F.col(item_col).alias("item_id"), F.transform(words(F.col(item_text)), lambda w: F.xxhash64(w)).alias("h")).where("size(h) > 0")
-        items = tables.write(items.distinct(), "benchmark-words")
-        self.sizes = sorted(r.size for r in items.select(F.least(F.size("h"), F.lit(WINDOW)).alias("size")).distinct().collect())
+        length = F.least(F.size("h"), F.lit(WINDOW))
+        items = tables.write(items.distinct().withColumn("size", length), "benchmark-words")
+        self.sizes = sorted(r.size for r in items.select("size").distinct().collect())
         if not self.sizes:
             return
         own = F.lit(False)
         for k, size in enumerate(size for size in self.sizes for _ in masks(size)):
             # an item has only the seeds of its own size, a short one only those at its start
-            own = own | ((F.col("seed") == k) & (F.col("length") == size) & (F.lit(size == WINDOW) | (F.col("at") == 0)))
-        length = F.least(F.size("h"), F.lit(WINDOW))
-        found = seeds(items.withColumn("length", length), self.sizes, "length").where(own)
-        self.seeds = tables.write(found.select("hash").distinct(), "benchmark-seeds", read_by_result=True)
-        placed = items.select("item_id", "h", length.alias("size"), F.explode(F.sequence(F.lit(0), F.size("h") - length)).alias("at"))
+            own = own | ((F.col("seed") == k) & (F.col("size") == size) & (F.lit(size == WINDOW) | (F.col("at") == 0)))
+        self.seeds = tables.write(seeds(items, self.sizes, "size").where(own).select("hash").distinct(), "benchmark-seeds", read_by_result=True)
+        placed = items.select("item_id", "h", "size", F.explode(F.sequence(F.lit(0), F.size("h") - F.col("size"))).alias("at"))
         placed = placed.select("item_id", "size", *_window("h", F.col("at")))
-        placed = tables.write(placed.withColumn("window", F.xxhash64("size", *(f"w{j}" for j in range(WINDOW)))), "benchmark-windows", read_by_result=True)
-        #: The distinct windows, which passages are compared with.
-        self.windows = placed.groupBy("window").agg(F.first(F.array(*(f"w{j}" for j in range(WINDOW)))).alias("iw"))
-        keys = tables.write(keyed(placed, self.sizes, "item_id", "window").select("key", "item_id", "window").distinct(), "benchmark-keys")
-        # keys of the same items are one group
-        windows_of = keys.groupBy("key").agg(F.min("window").alias("window"))
-        grouped = keys.select("key", "item_id").distinct().groupBy("key").agg(*set_of("item_id"), F.min("item_id").alias("item_id")).join(windows_of, "key")
-        self.keys = tables.write(grouped.select("key", "window", F.xxhash64("one", "two", "n").alias("items"), "item_id"), "benchmark-key-groups", read_by_result=True)
-        firsts = self.keys.groupBy("items").agg(F.min("key").alias("key"))
+        placed = tables.write(placed.withColumn("window", F.xxhash64("size", *_W)), "benchmark-windows")
+        #: The distinct windows by number, with their words and the group of items that have them.
+        self.windows = tables.write(_grouped(placed, "window").join(placed.groupBy("window").agg(F.first("size").alias("size"), *(F.first(w).alias(w) for w in _W)), "window"), "benchmark-window-groups", read_by_result=True)
+        coarse = tables.write(keyed(self.windows, self.halves, "window").select("key", "window"), "benchmark-halves")
+        crowded = coarse.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > CROWD)
+        #: Keys of half of the blocks under which too many windows meet, and (key, window) of the others.
+        self.crowded = tables.write(crowded, "benchmark-crowded", read_by_result=True)
+        self.coarse = tables.write(joined(coarse, self.crowded, ["key"], "left_anti"), "benchmark-few", read_by_result=True)
+        #: Keys of all agreements (key, window, items, item_id), for the windows that are crowded under some key.
+        self.keys = None
+        found = [_members(placed, "window", self.windows)]
+        if not self.crowded.isEmpty():
+            many = joined(coarse, self.crowded, ["key"], "left_semi").select("window").distinct()
+            keys = tables.write(keyed(placed.join(many, "window"), self.omissions, "item_id", "window").select("key", "item_id", "window").distinct(), "benchmark-keys")
+            windows_of = keys.groupBy("key").agg(F.min("window").alias("window"))
+            self.keys = tables.write(_grouped(keys, "key").join(windows_of, "key"), "benchmark-key-groups", read_by_result=True)
+            found.append(_members(keys, "key", self.keys))
         #: Which items (``item_id``) each group (``items``) stands for.
-        self.members = tables.write(firsts.join(keys, "key").select("items", "item_id").distinct(), "benchmark-groups", read_by_result=True)
+        self.members = tables.write(found[0].unionByName(found[-1]).distinct(), "benchmark-groups", read_by_result=True)
+
+    @property
+    def halves(self) -> dict[int, list[int]]:
+        return {size: halves(size) for size in self.sizes}
+
+    @property
+    def omissions(self) -> dict[int, list[int]]:
+        return {size: omissions(size) for size in self.sizes}
+
+
+def _grouped(df: DataFrame, key: str) -> DataFrame:
+    """``key``, the group of its items (``items``) and the smallest of them."""
+    sets = df.select(key, "item_id").distinct().groupBy(key).agg(*set_of("item_id"), F.min("item_id").alias("item_id"))
+    return sets.select(key, F.xxhash64("one", "two", "n").alias("items"), "item_id")
+
+
+def _members(df: DataFrame, key: str, groups: DataFrame) -> DataFrame:
+    """``items, item_id``, from one key of each group."""
+    firsts = groups.groupBy("items").agg(F.min(key).alias(key))
+    return firsts.join(df.select(key, "item_id").distinct(), key).select("items", "item_id")
+
+
+def _maybe_broadcast(df: DataFrame, broadcast_rows: int) -> DataFrame:
+    """A written table, broadcast if it has few enough rows; its columns are of fixed width."""
+    return F.broadcast(df) if df.count() <= broadcast_rows else df
 
 
-def _small(df: DataFrame, broadcast_rows: int) -> bool:
-    return df.count() <= broadcast_rows
+def compared(met: DataFrame, windows: DataFrame, broadcast_rows: int) -> DataFrame:
+    """Passages that agree with the ``window`` they met, word by word: ``p, q, rows, size, matched, items, item_id``."""
+    own = windows.drop("size").withColumn("iw", F.array(*_W)).drop(*_W)
+    both = met.join(F.broadcast(own) if windows.count() <= broadcast_rows // 8 else own, "window")
+    equal = F.aggregate(F.zip_with("w", "iw", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    both = both.select("p", "q", "rows", "size", "items", "item_id", (equal - (F.lit(WINDOW) - F.col("size"))).alias("matched"))
+    return both.where(F.col("matched") >= F.col("size") - F.floor(F.col("size") / 5))
 
 
 def held(documents: DataFrame, benchmark: DataFrame, tables: Tables, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame | None:
@@ -196,7 +236,7 @@ def held(documents: DataFrame, benchmark: DataFrame, tables: Tables, id_col: str
     text = F.col(text_col)
     read = documents.select(F.col(id_col).alias("doc_id"), mark_of(text).alias("mark"), F.concat(over, F.transform(words(text), lambda w: F.xxhash64(w)), over).alias("h"))
     found = seeds(read, b.sizes, "doc_id", "mark")
-    if _small(b.seeds, broadcast_rows):
+    if b.seeds.count() <= broadcast_rows:
         hits = found.join(F.broadcast(b.seeds), "hash", "left_semi")
     else:
         hits = found.where(bloom(b.seeds, "hash", b.seeds.count())(F.col("hash")))
@@ -205,17 +245,18 @@ def held(documents: DataFrame, benchmark: DataFrame, tables: Tables, id_col: str
         hits = hits.select("doc_id", "mark", "seed", "hash", (F.col("at") - near).alias("at"), F.slice("h", near + 1, 3 * WINDOW).alias("h"))
         hits = hits.join(b.seeds, "hash", "left_semi")
     placed = windows(hits, b.sizes)
-    hashes = ["size", *(f"w{j}" for j in range(WINDOW))]
+    hashes = ["size", *_W]
     p, q = _two(*hashes)
     placed = tables.write(placed.select("doc_id", "mark", p.alias("p"), q.alias("q"), *hashes), "passages-in-documents", read_by_result=True)
     passages = placed.groupBy("p", "q").agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in hashes))
-    small = _small(b.keys, broadcast_rows)
-    met = keyed(passages, b.sizes, "p", "q", "rows").join(F.broadcast(b.keys) if small else b.keys, "key")
-    met = met.join(F.broadcast(b.windows) if small else b.windows, "window")  # fewer than keys
-    equal = F.aggregate(F.zip_with("w", "iw", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) - (F.lit(WINDOW) - F.col("size"))
-    agree = met.where(equal >= F.col("size") - F.col("left_out"))
-    best = F.max(F.struct((F.col("size") - F.col("left_out")).alias("matched"), "size")).alias("best")
-    # at most 92 keys a passage, so at most as many groups of items
+    halved = keyed(passages, b.halves, "p", "q", "rows")
+    agree = compared(halved.join(_maybe_broadcast(b.coarse, broadcast_rows), "key"), b.windows, broadcast_rows)
+    if b.keys is not None:
+        crowded = halved.join(_maybe_broadcast(b.crowded.select("key"), broadcast_rows), "key", "left_semi").select("p", "q").distinct()
+        met = keyed(passages.join(crowded, ["p", "q"]), b.omissions, "p", "q", "rows").join(_maybe_broadcast(b.keys, broadcast_rows), "key")
+        agree = agree.unionByName(compared(met, b.windows.drop("items", "item_id"), broadcast_rows))
+    best = F.max(F.struct("matched", "size")).alias("best")
+    # a passage has at most 6 * CROWD windows and 92 keys, so at most as many groups of items
     verified = agree.groupBy("p", "q").agg(F.max("rows").alias("rows"), best, F.min("item_id").alias("item_id"), F.array_sort(F.collect_set("items")).alias("groups"))
     one, two = _two("groups")
     verified = tables.write(verified.withColumns({"g1": one, "g2": two}), "passages", read_by_result=True)
