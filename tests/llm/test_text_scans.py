@@ -5,6 +5,7 @@ import random
 import re
 import time
 import uuid
+from itertools import combinations
 
 import duckdb
 import pyarrow as pa
@@ -294,8 +295,10 @@ def leaky(spark):
     return docs, items
 
 
+@pytest.mark.parametrize("crowd", [decontaminate.CROWD, 0])
 @pytest.mark.parametrize("broadcast_rows", [decontaminate.BROADCAST_ROWS, 0])
-def test_leaks_match_brute_force(spark, leaky, broadcast_rows):
+def test_leaks_match_brute_force(spark, leaky, broadcast_rows, crowd, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CROWD", crowd)
     docs, items = leaky
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("words", F.lit(1)).withColumn("item_id", F.lit(2))
     b = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(3))
@@ -339,8 +342,15 @@ def test_empty_sides(spark):
     assert pii.find(none).count() == secret_ledger.scan(none, new_path(spark, "ledger")).count() == 0
 
 
-def test_seed_masks_are_lossless():
-    from itertools import combinations
+@pytest.mark.parametrize("size", range(1, 14))
+def test_halves_and_seeds_survive_all_substitutions(size):
+    """Whatever words are substituted, some half of the blocks, and some mask of a short window, has none of them."""
+    for changed in combinations(range(size), decontaminate.allowed(size)):
+        bits = sum(1 << x for x in changed)
+        assert any(bits & ~half == 0 for half in decontaminate.halves(size)) and bits in decontaminate.omissions(size)
+        assert size == 13 or any(not set(mask) & set(changed) for mask in decontaminate.masks(size))
+
 
+def test_seed_masks_are_lossless():
     places = [{o + x for x in mask} for mask in decontaminate.MASKS for o in range(decontaminate.WINDOW - mask[-1])]
     assert all(any(not p & set(changed) for p in places) for changed in combinations(range(decontaminate.WINDOW), 2))
