@@ -236,3 +236,11 @@ def test_url_edges(spark):
     none = spark.createDataFrame([], "verdict string, host string, path string")
     assert url_filter.judge(pages, none).first().verdict == "allow"
     assert url_filter.judge(pages.limit(0), none).count() == 0
+
+
+def test_a_hot_host_and_a_hot_url_fill_no_range(spark):
+    urls = [f"x://hot.net/a/{k}" for k in range(2000)] + ["x://one.net/same"] * 2000 + [f"x://h{k}.net/" for k in range(2000)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = url_filter.judge(pages, spark.createDataFrame(URL_RULES, "verdict string, host string, path string"), 12)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 3 * 500

@@ -34,6 +34,8 @@ DEFAULT = "allow"
 #: Keys in the sample that sets the ranges, for each range.
 SAMPLED = 20
 _TOP = "\U0010ffff"
+#: Between the parts of a place (numpy drops a NUL at the end of a string).
+_CUT = "\x01"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -126,7 +128,7 @@ def judge(pages: DataFrame, rules: DataFrame, ranges: int | None = None, id_col:
     share = min(1.0, 2 * SAMPLED * ranges / max(1, urls.count()))
     sample = urls.sample(share, seed=1).select("key", "path", "salt").limit(4 * SAMPLED * ranges).collect()
     # a place is one string; any order serves in which a rule's interval holds the urls that start with its key
-    places = sorted("\0".join(r) for r in sample)
+    places = sorted(_CUT.join(r) for r in sample)
     bounds = sorted({places[len(places) * k // ranges] for k in range(1, ranges)} if places else [])
     marks = np.array(bounds, dtype=object)
 
@@ -134,7 +136,7 @@ def judge(pages: DataFrame, rules: DataFrame, ranges: int | None = None, id_col:
         for batch in batches:
             keys, paths, salts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "path", "salt"))
             is_url = batch.column("is_url").to_numpy(zero_copy_only=False).astype(bool)
-            row, to = [np.flatnonzero(is_url)], [np.searchsorted(marks, (keys + "\0" + paths + "\0" + salts)[is_url], side="right")]
+            row, to = [np.flatnonzero(is_url)], [np.searchsorted(marks, (keys + _CUT + paths + _CUT + salts)[is_url], side="right")]
             for k in np.flatnonzero(~is_url).tolist():  # from the range that holds the interval's start to that of its end
                 low, high = bisect_left(bounds, keys[k]), bisect_right(bounds, keys[k] + _TOP)
                 row.append(np.full(high - low + 1, k))
