@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from ..sources.paths import shared_dir
 
 #: Bytes of text that a Python worker handles at once (one longer text is handled alone, and whole).
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 #: A key with more than one in so many rows is joined by broadcast: there can't be more such keys than this.
 HOT = 1000
 #: Rows of a key that are never too many for a task.
@@ -31,6 +32,7 @@ FEW = 100
 #: Share of rows that pass a Bloom filter without being listed.
 FALSE_HITS = 0.02
 _SPACE = re.compile(rb"[ \t-\r]")
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def run_dir(spark: SparkSession) -> str:
@@ -173,6 +175,13 @@ def only(df: DataFrame, listed: DataFrame, tables: Tables, id_col: str = "doc_id
     return _first(maybe.join(keys.drop("rows"), _ROW_KEY, "left_semi")).select("row.*")
 
 
+def trim() -> None:
+    """Give memory that Python and Arrow have freed back to the machine; allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut ``batch`` so that each piece holds about ``most`` bytes of ``column`` (string or binary)."""
     array = batch.column(batch.schema.get_field_index(column))
@@ -186,6 +195,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+        trim()
 
 
 def chunks(data: bytes, most: int) -> Iterator[bytes]:
