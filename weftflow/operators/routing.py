@@ -44,7 +44,8 @@ def spread(df: DataFrame) -> DataFrame:
     For rows that a costly step follows; large inputs have more splits than cores and aren't moved.
     """
     execution = df._jdf.queryExecution()
-    if execution.executedPlan().nodeName().startswith("Adaptive"):  # has exchanges, which deal rows already
+    plan = execution.executedPlan()
+    if plan.nodeName().startswith("Adaptive") or "Exchange" in plan.toString():  # exchanges deal rows already
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df
