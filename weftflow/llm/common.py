@@ -67,20 +67,20 @@ def clean(spark: SparkSession) -> None:
 
 
 class Tables:
-    """The tables that one call writes. :meth:`done` deletes those that its result doesn't read."""
+    """The tables that one call writes. :meth:`done` deletes those that its result doesn't read, or all of them."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.spent, self.read = spark, [], []
 
     def write(self, df: DataFrame, name: str, read_by_result: bool = False) -> DataFrame:
         table, path = written(df, name)
-        if not read_by_result:
-            self.paths.append(path)
+        (self.read if read_by_result else self.spent).append(path)
         return table
 
-    def done(self) -> None:
-        remove(self.spark, *self.paths)
-        self.paths = []
+    def done(self, everything: bool = False) -> None:
+        remove(self.spark, *self.spent, *(self.read if everything else ()))
+        self.spent = []
+        self.read = [] if everything else self.read
 
 
 def joined(many: DataFrame, one: DataFrame, on: list[str], how: str = "inner", rows: str = "rows") -> DataFrame:

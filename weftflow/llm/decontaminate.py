@@ -172,25 +172,26 @@ class Benchmark:
         self.seeds = tables.write(seeds(items, self.sizes, "size").where(own).select("hash").distinct(), "benchmark-seeds", read_by_result=True)
         placed = items.select("item_id", "h", "size", F.explode(F.sequence(F.lit(0), F.size("h") - F.col("size"))).alias("at"))
         placed = placed.select("item_id", "size", *_window("h", F.col("at")))
-        placed = tables.write(placed.withColumn("window", F.xxhash64("size", *_W)), "benchmark-windows")
+        placed = tables.write(placed.withColumn("window", F.xxhash64("size", *_W)), "benchmark-windows", read_by_result=True)
         #: The distinct windows by number, with their words and the group of items that have them.
         self.windows = tables.write(_grouped(placed, "window").join(placed.groupBy("window").agg(F.first("size").alias("size"), *(F.first(w).alias(w) for w in _W)), "window"), "benchmark-window-groups", read_by_result=True)
-        coarse = tables.write(keyed(self.windows, self.halves, "window").select("key", "window"), "benchmark-halves")
+        coarse = tables.write(keyed(self.windows, self.halves, "window").select("key", "window"), "benchmark-halves", read_by_result=True)
         crowded = coarse.groupBy("key").agg(F.count("*").alias("rows")).where(F.col("rows") > CROWD)
-        #: Keys of half of the blocks under which too many windows meet, and (key, window) of the others.
-        self.crowded = tables.write(crowded, "benchmark-crowded", read_by_result=True)
-        self.coarse = tables.write(joined(coarse, self.crowded, ["key"], "left_anti"), "benchmark-few", read_by_result=True)
-        #: Keys of all agreements (key, window, items, item_id), for the windows that are crowded under some key.
-        self.keys = None
-        found = [_members(placed, "window", self.windows)]
-        if not self.crowded.isEmpty():
+        found = _members(placed, "window", self.windows)
+        #: Keys of half of the blocks (key, window), but those under which too many windows meet.
+        self.coarse = coarse
+        #: The keys left out, and those of all agreements (key, window, items, item_id) for the windows under them.
+        self.crowded = self.keys = None
+        if not crowded.isEmpty():
+            self.crowded = tables.write(crowded, "benchmark-crowded", read_by_result=True)
+            self.coarse = tables.write(joined(coarse, self.crowded, ["key"], "left_anti"), "benchmark-few", read_by_result=True)
             many = joined(coarse, self.crowded, ["key"], "left_semi").select("window").distinct()
-            keys = tables.write(keyed(placed.join(many, "window"), self.omissions, "item_id", "window").select("key", "item_id", "window").distinct(), "benchmark-keys")
+            keys = tables.write(keyed(placed.join(many, "window"), self.omissions, "item_id", "window").select("key", "item_id", "window").distinct(), "benchmark-keys", read_by_result=True)
             windows_of = keys.groupBy("key").agg(F.min("window").alias("window"))
             self.keys = tables.write(_grouped(keys, "key").join(windows_of, "key"), "benchmark-key-groups", read_by_result=True)
-            found.append(_members(keys, "key", self.keys))
+            found = found.unionByName(_members(keys, "key", self.keys)).distinct()
         #: Which items (``item_id``) each group (``items``) stands for.
-        self.members = tables.write(found[0].unionByName(found[-1]).distinct(), "benchmark-groups", read_by_result=True)
+        self.members = found
 
     @property
     def halves(self) -> dict[int, list[int]]:
@@ -303,7 +304,7 @@ def keep(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
         return documents
     listed = tables.write(bad.select("doc_id", "mark", F.lit(False).alias("stays"), F.lit(1).alias("rows")), "contaminated")
     rows = without(documents, listed, tables, id_col, text_col)
-    own.done()
+    own.done(everything=True)
     tables.done()
     return rows
 

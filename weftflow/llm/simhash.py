@@ -236,7 +236,9 @@ def keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     Where several texts of a class have that id, each stays, but of rows with equal texts too one stays. Of
     rows with a null id one for each text stays where their class has no other id; where it has, they go.
     """
-    tables = Tables(df.sparkSession)
+    tables, own = Tables(df.sparkSession), Tables(df.sparkSession)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    rows = classed(df, tables, id_col, text_col).groupBy("doc_id", "mark").agg(F.bool_or(first).alias("stays"), F.count("*").alias("rows"))
-    return without(df, rows.where("not stays or rows > 1"), tables, id_col, text_col)
+    rows = classed(df, own, id_col, text_col).groupBy("doc_id", "mark").agg(F.bool_or(first).alias("stays"), F.count("*").alias("rows"))
+    kept = without(df, rows.where("not stays or rows > 1"), tables, id_col, text_col)  # has written the list
+    own.done(everything=True)
+    return kept
