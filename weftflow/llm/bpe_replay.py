@@ -229,8 +229,9 @@ class MergeReplay:
 
 
 _TABLES: dict[str, pa.BinaryArray] = {}
-#: Documents that are decoded at once.
+#: Documents that are decoded at once, and bytes of text that are encoded at once.
 ROWS = 512
+SLICE = 1 << 20
 
 
 def _encoder(ranks_path: str, pattern: str) -> PieceCoder:
@@ -261,7 +262,7 @@ def _coded(df: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path, pattern)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 ids = list_array(packed(part.column(1), encoder), "<u4", pa.int32())
                 for at in range(0, len(ids), ROWS):
                     columns = [part.column(0).slice(at, ROWS), ids.slice(at, ROWS)]
