@@ -223,10 +223,8 @@ def fit(texts: list[str], languages: list[str], epochs: int = 6, rate: float = 4
             bias -= pace * 0.1 * p.sum(axis=0)
             embed[used] -= pace * 8 * step
     counts = np.zeros((len(names), BUCKETS))
-    for k in own:
-        if k < len(order):  # whole texts only
-            at = subwords([texts[k]])[0]
-            counts[y[k]] += np.bincount(at, minlength=BUCKETS)
+    for part, at, row in cached.values():
+        counts += np.bincount(y[part][row] * BUCKETS + at, minlength=counts.size).reshape(counts.shape)
     model = Model(names, np.column_stack([embed @ out, familiarity(counts.sum(axis=0))]), bias, 1.0, 0.0, np.full(len(SIZES) + 1, -np.inf))
     if len(aside):
         calibrate(model, [texts[k] for k in aside], y[aside], counts, rng)
