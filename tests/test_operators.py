@@ -3,11 +3,12 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weftflow.functions import hashing
-from weftflow.operators import mapping, reducing, registry, routing
+from weftflow.operators import mapping, reducing, registry, routing, sorting
 from weftflow.operators.counters import Counters
 from weftflow.sources import text
 
@@ -274,3 +275,49 @@ def test_passes_and_union(spark):
     assert mapping.passes(df, 3).count() == 3
     assert mapping.union_of(df, df).count() == 2
     assert mapping.emit(df, F.upper("key"), F.col("value"), F.col("value") == "1").collect() == [("A", "1")]
+
+
+@pytest.mark.parametrize("kind", ["string", "binary"])
+@pytest.mark.parametrize("run", [1, 3000, 1 << 20])
+def test_rows_in_order_by_runs(monkeypatch, kind, run):
+    for name, value in (("RUN", run), ("BLOCK", 500), ("FAN", 3)):
+        monkeypatch.setattr(sorting, name, value)
+    rng = random.Random(run)
+    rows = [(rng.choice(["the", "", "é", "漢", "\U0001f600", "\uffff", str(rng.randrange(300))]), "x" * rng.choice([0, 1, 2000])) for _ in range(3000)]
+    if kind == "binary":
+        rows = [(key.encode(), value.encode()) for key, value in rows]
+    given = pa.table({"key": pa.array([k for k, _ in rows], kind), "value": pa.array([v for _, v in rows], kind)}).to_batches(max_chunksize=70)
+    blocks = [list(zip(*(c.to_pylist() for c in block.columns))) for block in sorting.in_order(given)]
+    out = [row for block in blocks for row in block]
+    keys = [key if kind == "binary" else key.encode() for key, _ in out]
+    assert keys == sorted(keys) and Counter(out) == Counter(rows) and len(blocks) > 100
+    assert list(sorting.in_order([])) == list(sorting.in_order(given[0].slice(0, 0) for _ in range(2))) == []
+
+
+def test_rows_in_order_in_bounded_memory(monkeypatch):
+    monkeypatch.setattr(sorting, "RUN", 1 << 20)
+    monkeypatch.setattr(sorting, "BLOCK", 1 << 14)
+
+    def most(batches: int) -> int:
+        before = pa.total_allocated_bytes()
+        held = [0]
+
+        def given():
+            rng = random.Random(1)
+            for _ in range(batches):
+                yield pa.record_batch([pa.array([f"{rng.random()}" for _ in range(2000)]), pa.array(["1"] * 2000)], names=["key", "value"])
+                held.append(pa.total_allocated_bytes() - before)
+
+        for _ in sorting.in_order(given()):
+            held.append(pa.total_allocated_bytes() - before)
+        return max(held)
+
+    few, many = most(40), most(400)
+    assert many < 8 << 20 and many < 2 * few
+
+
+@pytest.mark.parametrize("reducer", [Sum, Fold])
+def test_shards_are_not_sorted_in_the_memory_of_a_task(lines, reducer):
+    context = mapping.Context(shards=3)
+    out = reducing.run_reducer(mapping.run_mapper(lines[0], Words, context), reducer, context, incremental=reducer is Fold)
+    assert "Sort" not in out._jdf.queryExecution().executedPlan().toString()

@@ -3,7 +3,8 @@
 Use :func:`fold` and :func:`grouped` (or plain ``groupBy().agg()``) where they can say it: both kinds of
 reduction then are the same plan, with partial aggregation before the shuffle and spilling after it. A
 :class:`BatchReducer` or :class:`IncrementalReducer` runs arbitrary code in Python workers over rows that
-Spark has dealt to shards and sorted by key; a key's values stream past, so no key needs to fit in memory.
+Spark has dealt to shards. The workers sort them by key (:mod:`.sorting`): a shard may have any number of rows,
+and a key's values stream past, so neither needs to fit in memory.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from .mapping import BATCH, Context, objects
 from .registry import reducer_class
 from .routing import to_shards
+from .sorting import in_order
 
 #: The channel of the numbers of keys.
 KEYS = -1
@@ -97,18 +99,30 @@ def run_reducer(mapped: DataFrame, reducer: str | Callable[[], Reducer] | list,
     empty = "" if kind == "string" else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shard = None
+        first = next((batch for batch in batches if len(batch)), None)
+        if first is None:
+            return
+        shard = first.column(0)[0].as_py()  # a partition is a shard
+        own = create[shard]()
+        own.context, own.emitted = context, []
+        own.start()
         seen = 0
 
+        def rows() -> Iterator[pa.RecordBatch]:
+            """Keys and values, without the row that stands for the shard."""
+            for batch in chain([first], batches):
+                batch = batch.select(["key", "value"])
+                yield batch.filter(batch.column(0).is_valid()) if batch.column(0).null_count else batch
+
         def runs() -> Iterator[tuple]:
-            """(key, shard, values) of each run of one key in a batch."""
-            for batch in batches:
-                keys = batch.column(1).to_numpy(zero_copy_only=False)
-                values = objects(batch.column(2))
+            """(key, values) of each run of one key in a batch."""
+            for batch in in_order(rows()):
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                values = objects(batch.column(1))
                 edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
                 for a, b in zip(edges, edges[1:]):
                     if a < b:
-                        yield keys[a], batch.column(0)[a].as_py() if keys[a] is None else None, values[a:b]
+                        yield keys[a], values[a:b]
 
         def sent() -> pa.RecordBatch:
             channels, keys, values = zip(*own.emitted) if own.emitted else ((), (), ())
@@ -117,28 +131,21 @@ def run_reducer(mapped: DataFrame, reducer: str | Callable[[], Reducer] | list,
             return pa.record_batch(columns, names=["shard", "channel", "key", "value"])
 
         for key, same in groupby(runs(), key=itemgetter(0)):  # a key may go on in the next batch
-            if key is None:  # the rows that come first in every shard
-                shard = next(same)[1]
-                own = create[shard]()
-                own.context, own.emitted = context, []
-                own.start()
-                continue
-            values = chain.from_iterable(map(itemgetter(2), same))
+            values = chain.from_iterable(map(itemgetter(1), same))
             seen += 1
             own.run_key(key, values)
             if len(own.emitted) >= BATCH:
                 yield sent()
-        if own is not None:
-            own.flush()
-            if count_keys:
-                own.emitted.append((KEYS, empty, str(seen) if kind == "string" else str(seen).encode()))
-            yield sent()
+        own.flush()
+        if count_keys:
+            own.emitted.append((KEYS, empty, str(seen) if kind == "string" else str(seen).encode()))
+        yield sent()
 
     spark = mapped.sparkSession
     null = F.lit(None).cast(kind)
     marks = spark.range(context.shards).select(F.col("id").cast("int").alias("shard"), null.alias("key"), null.alias("value"))
     parts = [F.coalesce(F.col(c).cast(kind), F.lit(empty).cast(kind)).alias(c) for c in ("key", "value")]
-    dealt = to_shards(mapped.select("shard", *parts).unionByName(marks), context.shards)
+    dealt = to_shards(mapped.select("shard", *parts).unionByName(marks), context.shards, key=None)
     return dealt.mapInArrow(run, f"shard int, channel int, key {kind}, value {kind}")
 
 
