@@ -31,3 +31,8 @@ def test_word_count_plan_combines_before_the_shuffle(spark):
 def test_filters_reach_the_scan_and_nothing_is_shuffled(spark):
     plan = QUERIES["map_only_filter"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_quantity,45.0)" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name", ["wordcount_batch", "wordcount_incremental"])
+def test_shards_of_word_counts_are_not_sorted_in_the_memory_of_a_task(spark, name):
+    assert "Sort" not in QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
